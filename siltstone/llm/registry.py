@@ -6,6 +6,8 @@ import importlib
 
 MODULES = [
     "op02_mixing",
+    "op04_tokens",
+    "op10_warc",
 ]
 
 

@@ -7,6 +7,8 @@ import importlib
 MODULES = [
     "op02_mixing",
     "op04_tokens",
+    "op08_media",
+    "op09_scoring",
     "op10_warc",
 ]
 

@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "op02_mixing",
     "op04_tokens",
+    "op05_decontamination",
     "op08_media",
     "op09_scoring",
     "op10_warc",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
+    "op01_language",
     "op02_mixing",
     "op04_tokens",
     "op05_decontamination",

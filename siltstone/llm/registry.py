@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "op01_language",
     "op02_mixing",
+    "op03_html",
     "op04_tokens",
     "op05_decontamination",
     "op08_media",

@@ -10,6 +10,7 @@ MODULES = [
     "op03_html",
     "op04_tokens",
     "op05_decontamination",
+    "op06_jaccard",
     "op07_substring",
     "op08_media",
     "op09_scoring",

@@ -1,17 +1,301 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL. Arrays are given as joined strings."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.config import Settings
+from siltstone.functions import html, urls
+from siltstone.functions import text as tx
+from siltstone.operators import crawl as cr
+from siltstone.operators import index as ix
+from siltstone.operators import query as qy
+from siltstone.operators import rank
+from siltstone.operators.process import payload, process
+from siltstone.operators.snippet import snippet
+from siltstone.plans import sql
+from siltstone.plans.service import hydrate
+from siltstone.sources import store
+from siltstone.streaming.incremental import raw_documents
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+OR_QUERY, AND_QUERY, NOT_QUERY, AND_NOT_QUERY, PHRASE_QUERY = "tion OR ment OR rewh", "tion thon", "tion -thon", "tion thon -ment", '"der die"'
+
+
+def _query(name: str, oracle: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _index(spark: SparkSession, sf_dir: str, **settings) -> ix.Index:
+    return ix.build(_docs(spark, sf_dir), Settings(**settings))
+
+
+def _matches(spark: SparkSession, sf_dir: str, query: str, **settings) -> DataFrame:
+    chosen = Settings(**settings)
+    return qy.search(_index(spark, sf_dir, **settings), qy.parse(query, chosen.stemmer), chosen)
+
+
+def _scores(query: str, **settings) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _matches(spark, d, query, **settings).withColumn("matched_terms", F.array_join("matched_terms", ","))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The ten best documents of an OR query with snippets."""
+    terms = qy.parse(OR_QUERY).terms
+    top = rank.page(_matches(spark, sf_dir, OR_QUERY))
+    docs = _docs(spark, sf_dir).select("doc_id", F.lit("").alias("url"), F.lit("").alias("title"), F.col("text").alias("clean_text"))
+    return hydrate(top, docs, terms).withColumn("matched_terms", F.array_join("matched_terms", ","))
+
+
+@_query("token_counts", sql.tokens("SELECT doc_id, doc_len::INT AS token_count, len(k)::INT AS kept_count FROM kept"))
+def token_counts(spark, d):
+    return tx.token_counts(_docs(spark, d))
+
+
+@_query("vocabulary", sql.tokens("SELECT term, count(*) AS n FROM tok GROUP BY term"))
+def vocabulary(spark, d):
+    return tx.token_rows(_docs(spark, d)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query("unique_terms", sql.tokens("SELECT doc_id, count(DISTINCT term) AS unique_terms FROM tok GROUP BY doc_id"))
+def unique_terms(spark, d):
+    return tx.token_rows(_docs(spark, d)).groupBy("doc_id").agg(F.countDistinct("term").alias("unique_terms"))
+
+
+@_query("term_frequencies", sql.tokens("SELECT doc_id, term, tf::INT AS tf FROM post"))
+def term_frequencies(spark, d):
+    return ix.term_frequencies(tx.token_rows(_docs(spark, d)))
+
+
+@_query("stop_words", f"SELECT doc_id, (len(w) - len(list_filter(w, lambda x: NOT list_contains({sql._STOP}, x))))::INT AS stop_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[''\\-][a-z0-9]+)*') AS w FROM documents)")
+def stop_words(spark, d):
+    raw = tx.raw_tokens(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(F.filter(raw, tx.is_stop_word)).alias("stop_words"))
+
+
+@_query("positional_postings", sql.tokens("SELECT (('0x' || left(sha256(term), 8))::BIGINT % 4)::INT AS shard, term, doc_id, tf::INT AS tf, array_to_string(positions, ' ') AS positions, doc_len::INT AS doc_len FROM post"))
+def positional_postings(spark, d):
+    return _index(spark, d).postings.withColumn("positions", F.array_join("positions", " "))
+
+
+@_query("shard_assignment", sql.tokens("SELECT DISTINCT term, (('0x' || left(sha256(term), 8))::BIGINT % 4)::INT AS shard FROM tok"))
+def shard_assignment(spark, d):
+    return tx.token_rows(_docs(spark, d)).select("term").distinct().withColumn("shard", ix.shard(F.col("term")))
+
+
+@_query("shard_sizes", sql.tokens("SELECT (('0x' || left(sha256(term), 8))::BIGINT % 4)::INT AS shard, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT n FROM stats) AS docs FROM post GROUP BY 1"))
+def shard_sizes(spark, d):
+    index = _index(spark, d)
+    return ix.shard_sizes(index.postings, index.total_docs)
+
+
+@_query("document_frequency", sql.tokens("SELECT term, df FROM df"))
+def document_frequency(spark, d):
+    return ix.term_stats(ix.postings(tx.token_rows(_docs(spark, d))))
+
+
+@_query("corpus_stats", sql.tokens("SELECT n AS total_docs, total::BIGINT AS total_tokens, avgdl AS avg_doc_length FROM stats"))
+def corpus_stats(spark, d):
+    return ix.corpus_stats(tx.token_counts(_docs(spark, d)))
+
+
+@_query("idf_table", sql.tokens("SELECT term, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 6) AS idf FROM df CROSS JOIN stats"))
+def idf_table(spark, d):
+    index = _index(spark, d)
+    return index.term_stats.select("term", F.round(rank.idf(F.col("df"), index.total_docs), 6).alias("idf"))
+
+
+_query("bm25_single", sql.search(["rewh"]) + sql.SCORES)(_scores("rewh"))
+_query("bm25_or", sql.search(["tion", "ment", "rewh"]) + sql.SCORES)(_scores(OR_QUERY))
+_query("bm25_and", sql.search(["tion", "thon"], every=True) + sql.SCORES)(_scores(AND_QUERY))
+_query("bm25_not", sql.search(["tion"], without=["thon"]) + sql.SCORES)(_scores(NOT_QUERY))
+_query("bm25_and_not", sql.search(["tion", "thon"], every=True, without=["ment"]) + sql.SCORES)(_scores(AND_NOT_QUERY))
+_query("bm25_duplicate_terms", sql.search(["tion", "thon", "tion"], every=True) + sql.SCORES)(_scores("tion thon tion"))
+_query("bm25_compat_dl0", sql.search(["tion", "ment", "rewh"], zero_length=True) + sql.SCORES)(_scores(OR_QUERY, compat=True))
+_query("bm25_compat_and_not", sql.search(["tion", "thon"], every=True, zero_length=True) + sql.SCORES)(_scores(AND_NOT_QUERY, compat=True))
+_query("bm25_compat_unknown_term", sql.search(["tion"], zero_length=True) + sql.SCORES)(_scores("tion zzzzunknown", compat=True))
+_query("phrase_ranked", sql.search(["der", "die"], phrase=True) + sql.SCORES)(_scores(PHRASE_QUERY))
+
+
+@_query("phrase_docs", sql.search(["der", "die"], phrase=True) + "SELECT doc_id FROM m")
+def phrase_docs(spark, d):
+    return qy.phrase_docs(_index(spark, d), qy.parse(PHRASE_QUERY).terms)
+
+
+_RANKED = "SELECT doc_id, score, matched_terms, (row_number() OVER (ORDER BY score DESC, first_ord, doc_id))::INT AS rank FROM m JOIN mt USING (doc_id)"
+
+
+@_query("page_two", sql.search(["tion", "ment", "rewh"]) + f"SELECT * FROM ({_RANKED}) WHERE rank BETWEEN 11 AND 20")
+def page_two(spark, d):
+    return rank.page(_matches(spark, d, OR_QUERY), 2).select("doc_id", "score", F.array_join("matched_terms", ",").alias("matched_terms"), "rank")
+
+
+@_query("total_pages", sql.search(["tion", "ment", "rewh"]) + "SELECT count(*) AS total_found, ceil(count(*) / 10)::BIGINT AS total_pages FROM m")
+def total_pages(spark, d):
+    return _matches(spark, d, OR_QUERY).agg(F.count("*").alias("total_found"), F.ceil(F.count("*") / 10).alias("total_pages"))
+
+
+_SNIPPET = """s AS (SELECT doc_id, text, string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS w FROM documents),
+h AS (SELECT doc_id, i, (contains(x, 'tion')::INT + contains(x, 'ment')::INT + contains(x, 'rewh')::INT) AS hits FROM
+      (SELECT doc_id, i, lower(array_to_string(w[i + 1 : i + 30], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(0, len(w) - 30)) AS i FROM s WHERE len(w) > 40))),
+b AS (SELECT doc_id, arg_max(i, hits * 1000000 - i) AS i FROM h GROUP BY doc_id),
+sn AS (SELECT s.doc_id, CASE WHEN len(w) <= 40 THEN left(text, 200) ELSE left((CASE WHEN i > 0 THEN '...' ELSE '' END) || array_to_string(w[i + 1 : i + 30], ' ') || (CASE WHEN i + 30 < len(w) THEN '...' ELSE '' END), 200) END AS snippet FROM s LEFT JOIN b USING (doc_id))"""
+
+
+@_query("snippets", f"WITH {_SNIPPET} SELECT doc_id, snippet FROM sn")
+def snippets(spark, d):
+    return _docs(spark, d).select("doc_id", snippet(F.col("text"), ["tion", "ment", "rewh"]).alias("snippet"))
+
+
+@_query("hydrated_results", sql.search(["tion", "ment", "rewh"]).rstrip() + f",\n{_SNIPPET},\nr AS ({_RANKED})\nSELECT rank, r.doc_id, '' AS url, '' AS title, snippet, score, matched_terms FROM r JOIN sn USING (doc_id) WHERE rank <= 10")
+def hydrated_results(spark, d):
+    return flagship(spark, d)
+
+
+@_query("url_normalise", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '\?$', ''), '/+$', '') AS url FROM pages")
+def url_normalise(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.normalise(F.col("url")).alias("url"))
+
+
+@_query("url_hash", "SELECT page_id, sha256(lower(trim(url))) AS url_hash FROM pages")
+def url_hash(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.url_hash(F.col("url")).alias("url_hash"))
+
+
+@_query("url_domain", "SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS domain, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS base_url FROM pages")
+def url_domain(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), urls.base(F.col("url")).alias("base_url"))
+
+
+@_query("links_resolved")
+def links_resolved(spark, d):
+    return html.page_links(_table(spark, d, "pages")).select("url", F.explode_outer("links").alias("link"))
+
+
+@_query("html_fields", f"WITH {sql.PAGE_FIELDS} SELECT page_id, title, language, '' AS meta_description, headings, body_text, {sql.collapsed("concat_ws(' ', title, title, title, headings, body_text)")} AS full_text FROM f WHERE body_text <> ''")
+def html_fields(spark, d):
+    x = html.parse_pages(_table(spark, d, "pages")).where("error is null")
+    return x.select("page_id", "title", "language", "meta_description", F.array_join("headings", " ").alias("headings"), "body_text", "full_text")
+
+
+@_query("html_rejected", f"WITH {sql.PAGE_FIELDS} SELECT page_id, 'parse_failed' AS error FROM f WHERE body_text = ''")
+def html_rejected(spark, d):
+    return html.parse_pages(_table(spark, d, "pages")).where("error is not null").select("page_id", "error")
+
+
+@_query("anchor_texts")
+def anchor_texts(spark, d):
+    return html.parse_pages(_table(spark, d, "pages")).select("page_id", F.array_join("anchor_texts", "|").alias("anchor_texts"))
+
+
+def _page_text(spark, d) -> DataFrame:
+    return html.parse_pages(_table(spark, d, "pages")).where("error is null").select(F.col("page_id").alias("doc_id"), F.col("full_text").alias("text"))
+
+
+@_query("page_index_search")
+def page_index_search(spark, d):
+    index = ix.build(_page_text(spark, d), compose=True)
+    return qy.search(index, qy.parse(OR_QUERY)).withColumn("matched_terms", F.array_join("matched_terms", ","))
+
+
+@_query("processed_documents")
+def processed_documents(spark, d):
+    done = process(raw_documents(_table(spark, d, "pages")).dropDuplicates(["url"]))
+    return done.select("doc_id", "url", "title", "clean_text", "token_count", "domain", "status", "unique_terms", F.to_json("tokens").alias("tokens"))
+
+
+@_query("payload", sql.tokens("SELECT doc_id, count(*)::INT AS unique_terms, string_agg(term || ':' || tf, ' ' ORDER BY positions[1]) AS tokens FROM post GROUP BY doc_id"))
+def payload_query(spark, d):
+    made = payload(tx.token_rows(_docs(spark, d)))
+    return made.select("doc_id", "unique_terms", F.array_join(F.transform("tokens", lambda t: F.concat(t["term"], F.lit(":"), t["tf"].cast("string"))), " ").alias("tokens"))
+
+
+def _stored(spark, d) -> DataFrame:
+    """The corpus as a documents table: labelled documents are processed, all others raw."""
+    x = _table(spark, d, "documents").join(_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    base = store.empty(spark).schema
+    none = lambda c: F.lit(None).cast(base[c].dataType).alias(c)
+    return x.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("http://corpus.example/"), "doc_id").alias("url"), none("title"), none("raw_html"), F.col("text").alias("clean_text"), none("tokens"),
+        F.size(F.coalesce(tx.raw_tokens(F.col("text")), F.array().cast("array<string>"))).alias("token_count"), F.timestamp_seconds("n_chars").alias("crawled_at"), none("processed_at"), F.lit(0).alias("depth"),
+        F.lit("corpus.example").alias("domain"), F.when(F.col("quality").isNull(), "raw").otherwise("processed").alias("status"),
+    )
+
+
+@_query("corpus_counts", r"SELECT count(*) AS total, count(l.doc_id) AS processed, round(avg(CASE WHEN l.doc_id IS NOT NULL THEN len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[''\-][a-z0-9]+)*')) END), 6) AS avg_token_count FROM documents d LEFT JOIN labels l USING (doc_id)")
+def corpus_counts(spark, d):
+    return store.counts(_stored(spark, d)).withColumn("avg_token_count", F.round("avg_token_count", 6))
+
+
+@_query("unprocessed_batch", "SELECT doc_id::VARCHAR AS doc_id FROM documents d ANTI JOIN labels l USING (doc_id) ORDER BY n_chars, doc_id::VARCHAR LIMIT 100")
+def unprocessed_batch(spark, d):
+    return store.unprocessed(_stored(spark, d), 100).select("doc_id")
+
+
+@_query("processed_scan", "SELECT doc_id::VARCHAR AS doc_id, 'http://corpus.example/' || doc_id AS url FROM documents d SEMI JOIN labels l USING (doc_id)")
+def processed_scan(spark, d):
+    return store.processed(_stored(spark, d)).select("doc_id", "url")
+
+
+@_query("upsert_merge", "SELECT d.doc_id::VARCHAR AS doc_id, 'http://corpus.example/' || d.doc_id AS url, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality END AS title, CASE WHEN l.doc_id IS NULL THEN d.text END AS clean_text, 'corpus.example' AS domain FROM documents d LEFT JOIN labels l USING (doc_id)")
+def upsert_merge(spark, d):
+    old = _stored(spark, d)
+    new = _table(spark, d, "labels").select(F.concat(F.lit("http://corpus.example/"), "doc_id").alias("url"), F.concat(F.lit("q"), "quality").alias("title"))
+    kinds = {f.name: f.dataType for f in old.schema}
+    new = new.select(*[F.col(c) if c in ("url", "title") else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+    return store.upsert(old, new).select("doc_id", "url", "title", "clean_text", "domain")
+
+
+def _web(spark, d) -> DataFrame:
+    pages = _table(spark, d, "pages")
+    return pages.groupBy(urls.normalise(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html")).select("url", "html", F.lit("text/html").alias("content_type"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"))
+
+
+@_query("crawl_frontier")
+def crawl_frontier(spark, d):
+    seeds = [r[0] for r in _table(spark, d, "pages").orderBy("page_id").select("url").limit(20).collect()]  # a crawl has at most 20 seeds
+    got = cr.crawl(spark, seeds, cr.table_fetch(_web(spark, d)), settings=Settings(crawl_max_depth=1))
+    return got.log.select("url", "depth", "status", "title", F.size("links").alias("links"))
+
+
+@_query("robots_filter", "SELECT page_id, url, NOT regexp_matches(url, '^[a-z]+://[^/?#]*/de/') AS allowed FROM pages")
+def robots_filter(spark, d):
+    pages = _table(spark, d, "pages").select("page_id", "url")
+    rules = pages.select(urls.base(F.col("url")).alias("base_url")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /de/\n"))
+    return cr.robots_filter(pages, rules, "siltstone-crawler")
+
+
+_query("porter_search")(_scores(OR_QUERY, stemmer="porter"))
+
+
+@_query("conversation_terms", sql.tokens("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY term").replace("SELECT doc_id, regexp_extract_all(lower(text)", "SELECT conv_id AS doc_id, regexp_extract_all(lower(text)").replace("FROM documents", "FROM conversations"))
+def conversation_terms(spark, d):
+    rows = tx.token_rows(_table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text"))
+    return rows.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)

@@ -44,7 +44,7 @@ class Encoder:
     """Ids of whole texts by the tokenizers library. Texts are cut at spaces where the pre-tokenizer cuts as well, and
     the ids of pieces are remembered, at most 2 * ``keep`` of them, so that the library encodes each piece once."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -109,6 +109,17 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This Python worker's encoder: Spark reuses workers, so what one task learns serves the next."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _visible(c: str) -> bool:
     return not c.isspace() and not (c <= " " or "\x7f" <= c <= "\xa0")
 
@@ -160,7 +171,7 @@ def _write(folder: str, path: str, end_id: int, length: int, batch_size: int):
                 continue
             if packer is None:
                 store.create_dir(place.rpartition("/")[0], recursive=True)
-                encoder = Encoder(path)
+                encoder = encoder_of(path)
                 sink = store.open_output_stream(place + ".arrow", compression=None)
                 packer = _Packer(sink, encoder.dtype, length, batch_size)
                 end = np.array([end_id], encoder.dtype).tobytes()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with only the needed columns under their names, so that no other clashes with what an operator adds, and
+    the way back to all columns as they were."""
+    names = [c if c in needed else f"__c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*docs.columns)
+
+
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
     """crc32(doc_id as text) mod ``folds``; a null doc_id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import crc_fold
+from siltstone.llm.common import apart, crc_fold
 from siltstone.llm.textkit import chunks
 
 #: Hashed n-grams of up to GRAMS characters; a space stands for any run of other characters.
@@ -210,11 +210,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def known_language(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows whose language can't be told: no letter, or a score below ``least``."""
     model = train(docs.where(crc_fold("doc_id", FOLDS) != HELD_OUT), sample)
-    own = [f"c{i}" for i in range(len(docs.columns))]  # any names, clashing or not
-    at = docs.columns.index("text")
-    plain = docs.toDF(*["text" if i == at else c for i, c in enumerate(own)])
-    kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[c if i != at else "text" for i, c in enumerate(own)]).toDF(*docs.columns)
+    x, back = apart(docs, "text")
+    return back(predict(x, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

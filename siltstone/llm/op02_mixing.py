@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, small, stage
+from siltstone.llm.common import WORD, apart, small, stage
 
 HASH_BITS = 60
 LEVEL_BITS = 10
@@ -113,12 +113,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int =
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it; all columns stay."""
-    sized = stage(docs.select("source", _key(F.col("source")).alias("key"), _size(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("h")), "mix-sizes")
-    cut = small(stage(thresholds(sized, weights, most), "mix-cut").withColumnRenamed("key", "__key"))
-    h, key = _hash(F.col("doc_id")), _key(F.col("source"))
-    once = (h < F.col("limit")) | ((h == F.col("limit")) & F.col("at_limit"))
-    times = (F.col("repeats") + once.cast("int")).cast("int")
-    return docs.join(cut, key == F.col("__key")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    x, back = apart(docs, "doc_id", "text", "source")
+    keyed = x.withColumns({"key": _key(F.col("source")), "h": _hash(F.col("doc_id"))})
+    sized = stage(keyed.select("source", "key", _size(F.col("text")).alias("size"), "h"), "mix-sizes")
+    cut = small(stage(thresholds(sized, weights, most), "mix-cut"))
+    return back(keyed.join(cut, "key").withColumn("copy", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from siltstone.llm.textkit import U, chunks, mix, powers, windows, words
 
 SHINGLE, PERCENT = 3, 90
 #: Rows of one column that are paired with one another.
-RUN = 64
+RUN = 512
 #: A column of so many rows is frequent. Batches of COUNTED bytes of text report columns of at least LOCAL rows; at most
 #: FREQUENT columns are broadcast. The order of columns changes the work, never the result.
 COMMON, COUNTED, LOCAL, FREQUENT = 128, 8 << 20, 3, 1 << 18

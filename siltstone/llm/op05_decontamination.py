@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small, stage
+from siltstone.llm.common import apart, small, stage
 
 WINDOW = 13
 #: Words after lowering A-Z; matched before lowering, A-Z count as letters.
@@ -78,10 +78,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     agree = index.join(small(anchors), "term").groupBy("k1", "k2", "item", "n", (F.col("pos") - F.col("j")).alias("delta")).agg(F.countDistinct("j").alias("rare"))
     found = stage(agree.where(F.col("rare") >= F.least(F.lit(2), "n")).select("k1", "k2", "item", "delta"), "bench-offsets")
     keys = small(stage(found.select("k1", "k2").distinct(), "bench-docs"))
-    texts = docs.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    there = _doc_words(texts, "k1", "k2")
+    there = _doc_words(docs.join(keys, ["k1", "k2"], "left_semi"), "k1", "k2")
     wanted = found.join(small(terms.select("item", "n", "j", "term")), "item").withColumn("pos", F.col("delta") + F.col("j"))
-    same = there.join(wanted, ["k1", "k2", "pos", "term"]).select("k1", "k2", "item", "n", "delta", "j")
+    same = there.join(wanted, ["k1", "k2", "pos", "term"]).select("k1", "k2", "item", "n", "delta", "j").distinct()  # equal rows of docs
     run = F.row_number().over(Window.partitionBy("k1", "k2", "item", "delta").orderBy("j"))
     runs = same.withColumn("run", F.col("j") - run).groupBy("k1", "k2", "item", "n", "delta", "run").agg(F.min("j").alias("a"), F.max("j").alias("b"))
     runs = runs.where(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), "n"))
@@ -126,10 +125,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay."""
-    bad = stage(decontaminate(docs, items, window, share).where("contaminated").select("k1", "k2").distinct(), "bench-bad")
-    return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__k2": F.xxhash64(F.col("text"), F.col("doc_id").isNull())}).join(
-        small(bad), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti"
-    ).select(*docs.columns)
+    x, back = apart(docs, "doc_id", "text")
+    bad = stage(decontaminate(x, items, window, share).where("contaminated").select("k1", "k2").distinct(), "bench-bad")
+    return back(_key(x).join(small(bad), ["k1", "k2"], "left_anti"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

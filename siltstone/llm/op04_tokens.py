@@ -88,24 +88,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts, unknown = [], set()
+        known = self.new.get
         for text in texts:
-            pieces = text.split(" ")
-            missing = {p for p in pieces[1:] if p not in self.new}
-            if any(not p or not _visible(p[0]) or not _visible(p[-1]) for p in missing) or len(pieces) > 1 and not (pieces[0] and _visible(pieces[0][-1])):
-                pieces = _CUT.split(text)
-                missing = {p for p in pieces[1:] if p not in self.new}
-            cuts.append(pieces)
-            unknown |= missing
-        kept = self.new
+            first, *pieces = text.split(" ")
+            got = list(map(known, pieces))
+            missing = {p for p, ids in zip(pieces, got) if ids is None} if None in got else ()
+            if any(not p or not _visible(p[0]) or not _visible(p[-1]) for p in missing) or pieces and not (first and _visible(first[-1])):
+                first, *pieces = _CUT.split(text)
+                got = list(map(known, pieces))
+                missing = {p for p, ids in zip(pieces, got) if ids is None}
+            cuts.append((first, pieces, got, bool(missing)))
+            unknown.update(missing)
         if unknown:
             self._learn(unknown)
         out = []
-        for pieces in cuts:
-            ids = [self._ids(pieces[0])] if pieces[0] else []
-            for p in pieces[1:]:
-                got = self.new.get(p)
-                ids.append(kept[p] if got is None else got)
-            out.append(b"".join(ids))
+        for first, pieces, got, lacks in cuts:
+            if lacks:
+                got = [self.new[p] if ids is None else ids for p, ids in zip(pieces, got)]
+            out.append((self._ids(first) if first else b"") + b"".join(got))
         return out
 
 

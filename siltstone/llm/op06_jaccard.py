@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small, stage
+from siltstone.llm.common import apart, small, stage
 from siltstone.llm.components import components
 from siltstone.llm.textkit import U, chunks, mix, powers, windows, words
 
@@ -218,17 +218,21 @@ def candidates(postings: DataFrame, percent: int, run_rows: int = RUN) -> DataFr
     return pairs.where(F.col("tie") | (F.col("shared") + size - first >= needed)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-SETS = "c bigint, entries binary"
+MEMBER = "f bigint, c bigint, copies bigint, b int, blocks int, entries binary"
 
 
 def _sets(k: int):
+    """Whole rows of family members, once per batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in MEMBER.split(", ")]
         for batch in batches:
-            done: dict[int, bytes] = {}
-            for _, _, texts in chunks(batch):
-                for s in shingle_sets(texts, k):
-                    done.setdefault(_class(s), s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64()), pa.array(list(done.values()), pa.binary())], names=["c", "entries"])
+            own = batch.column("c").to_pylist()
+            first = pa.array(sorted({c: i for i, c in reversed(list(enumerate(own)))}.values()), pa.int64())
+            batch = batch.take(first)
+            for a, b, texts in chunks(batch):
+                columns = [batch.column(x).slice(a, b - a) for x in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=names)
 
     return run
 
@@ -311,17 +315,21 @@ def _decide(percent: int):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with k1 and k2, which tell different (doc_id, text) apart."""
+    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "k2": F.xxhash64(F.col("text"), F.col("doc_id").isNull())})
+
+
 def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, run_rows: int = RUN, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, k1, k2.
+    """A row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, k1, k2, root (tells components apart,
+    also those whose least doc_id is the same).
 
     Two documents link if their sets' Jaccard similarity is at least percent / 100. component_id is the least doc_id
     reachable by links, its own included; n_links is the number of linked other rows. Null or wordless text: no shingle,
     no link. Rows of equal doc_id are rows of their own; a null doc_id is never a component's id unless all are null.
     Equal rows get equal results. No rows: no rows."""
     spark = docs.sparkSession
-    x = docs.select(
-        "doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("k1"), F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias("k2"), F.xxhash64("text").alias("th"),
-    )
+    x = _keyed(docs.select("doc_id", "text")).withColumn("th", F.xxhash64("text"))
     features = stage(x.select("k1", "k2", F.col("doc_id").cast("bigint").alias("doc_id"), "th", "text").mapInArrow(_features(k), FEATURES), "jaccard-features")
     classes = stage(features.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("th").alias("th")), "jaccard-classes")
     late = spark.sparkContext.broadcast(frequent_columns(features))
@@ -332,9 +340,8 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     members = stage(members.join(classes, "c"), "jaccard-members")
     blocks = members.groupBy("f").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / BLOCK_ENTRIES)).cast("int").alias("blocks"))
     members = members.join(blocks, "f").withColumn("b", F.pmod("c", "blocks").cast("int"))
-    wanted = small(stage(members.select("th").distinct(), "jaccard-wanted"))
-    texts = x.select("th", "text").join(wanted, "th", "left_semi").select("text")
-    full = texts.mapInArrow(_sets(k), SETS).join(members.select("c", "f", "copies", "b", "blocks"), "c")
+    members = small(stage(members.select("th", "f", "c", "copies", "b", "blocks"), "jaccard-wanted"))
+    full = x.join(members, "th").select("f", "c", "copies", "b", "blocks", "text").mapInArrow(_sets(k), MEMBER)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     full = full.select("c", "f", "copies", "entries", "b", other)
     full = full.select("f", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "c", "copies", "entries")
@@ -344,33 +351,34 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     counts = found.groupBy("c").agg(F.sum("links").alias("links")).join(root, F.col("c") == F.col("node"), "left").select("c", "links", F.coalesce("root", "c").alias("root"))
     linked = stage(counts.join(classes, "c"), "jaccard-linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    linked = linked.join(least, "root").select("c", "n", "component", "links")
+    linked = linked.join(least, "root").select("c", "n", "component", "links", "root")
     of = classes.where("copies > 1").select("c", "n", "first", "copies").join(linked, ["c", "n"], "full")
-    of = small(stage(of.select("c", "n", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links")), "jaccard-components"))
+    of = small(stage(of.select("c", "n", F.coalesce("component", "first").alias("component"), F.coalesce("root", "c").alias("root"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links")), "jaccard-components"))
     own = features.select("doc_id", "k1", "k2", "c", "n").join(of, ["c", "n"], "left")
     return own.select(
-        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), "k1", "k2",
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), "k1", "k2", F.coalesce("root", "c").alias("root"),
     )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of linked ones, the one of least doc_id; all columns stay. Of rows with
     that doc_id one stays. Documents without words stay."""
-    keys = stage(link_components(docs, k, percent), "jaccard-keep")
-    drop = keys.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("k1", "k2").distinct()
-    out = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__k2": F.xxhash64(F.col("text"), F.col("doc_id").isNull())})
-    out = out.join(small(stage(drop, "jaccard-drop")), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti")
-    twice = keys.where("n_shingles > 0").where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("component_id").count().where("count > 1")
-    if not twice.isEmpty():  # rows of one doc_id that link to one another
-        comp = keys.where("n_shingles > 0").select("k1", "k2", "component_id").distinct()
-        marked = out.join(comp, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").withColumn("__one", F.coalesce("component_id", F.xxhash64(F.monotonically_increasing_id())))
-        single = marked.where("k1 is null or component_id is null").select(*docs.columns)
-        out = marked.where("k1 is not null and component_id is not null").dropDuplicates(["__one"]).select(*docs.columns).union(single)
-    return out.select(*docs.columns)
+    x, back = apart(docs, "doc_id", "text")
+    keys = stage(link_components(x, k, percent), "jaccard-keep")
+    of_own = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    drop = small(stage(keys.where(~of_own).select("k1", "k2").distinct(), "jaccard-drop"))
+    out = _keyed(x).join(drop, ["k1", "k2"], "left_anti")
+    first = keys.where(of_own & (F.col("n_shingles") > 0))
+    twice = stage(first.groupBy("root").agg(F.count("*").alias("n"), F.collect_set(F.struct("k1", "k2")).alias("of")).where("n > 1"), "jaccard-twice")
+    if not twice.isEmpty():  # several rows of one doc_id link to one another
+        twice = twice.select(F.monotonically_increasing_id().alias("g"), F.explode("of").alias("k")).select("g", "k.k1", "k.k2")
+        marked = out.join(small(stage(twice, "jaccard-rows")), ["k1", "k2"], "left")
+        out = marked.where("g is null").drop("g").unionByName(marked.where("g is not null").dropDuplicates(["g"]).drop("g"))
+    return back(out)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k1", "k2")
+    return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k1", "k2", "root")
 
 
 QUERIES = {"op6_jaccard": op6_jaccard}

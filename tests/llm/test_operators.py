@@ -279,6 +279,29 @@ def test_scoring(odd, none, spark):
     assert all(r["n_known"] == r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def test_scoring_learns_rare_bigrams(spark):
+    """Against the dense model over all words: pairs of words of any rank count."""
+    rng = random.Random(6)
+    every = []
+    for i in range(300):
+        w = [x for _ in range(15) for j in [rng.randrange(700)] for x in (f"a{j}", f"b{j}")] + [f"c{rng.randrange(5)}" for _ in range(9)]
+        every.append((i, " ".join(w), i % 7 != 2))
+    every += [(1000, " ".join(f"a{j} b{j}" for j in range(650, 690)), False), (1001, " ".join(f"a{j} b{j + 1}" for j in range(650, 690)), False), (1002, "a1 never b1", False)]
+    got = {r["doc_id"]: r["score"] for r in op09_scoring.score_documents(spark.createDataFrame(every, "doc_id bigint, text string, training boolean").repartition(3)).collect()}
+    number = {x: i for i, x in enumerate(sorted({x for _, t, training in every if training for x in t.split()}))}
+    end, other = len(number), len(number) + 1
+    counts = np.zeros((2, other + 1, other + 1), np.int64)
+    ids = {i: [*(number.get(x, other) for x in t.split()), end] for i, t, _ in every}
+    for i, _, training in every:
+        if training:
+            for a, b in zip([end, *ids[i]], ids[i]):
+                counts[int(zlib.crc32(str(i).encode()) % 7 == 3), a, b] += 1
+    model = op09_scoring.Model(*counts)
+    for i, w in ids.items():
+        assert got[i] == pytest.approx(sum(model.logs[a, b] for a, b in zip([end, *w], w)), rel=1e-3)
+    assert got[1000] > got[1001] + 40  # 1,400 words: most rank below 1,023, and their pairs tell
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(4)
     counts = [rng.poisson(2, (16, 16)) * (rng.random((16, 16)) < 0.5) for _ in range(2)]

@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies of hashed n-grams are counted over all training rows. The classifier is fitted by
-follow-the-regularised-leader with elastic-net penalties on a sample of about SAMPLE rows a language, part of which is
+follow-the-regularised-leader with elastic-net penalties on a sample of about SAMPLE texts a language, part of which is
 kept back to calibrate a temperature. The model, DIMS weights a language, is broadcast; prediction is one pass.
 """
 
@@ -20,7 +20,7 @@ from siltstone.llm.textkit import chunks
 #: Hashed n-grams of up to GRAMS characters; a space stands for any run of other characters.
 BITS, GRAMS = 15, 3
 DIMS = 1 << BITS
-#: Training rows for the classifier: about so many of each language, chosen by a hash of the row.
+#: Training rows for the classifier: about so many different texts of each language, chosen by a hash of the row.
 SAMPLE = 400
 #: Languages learned: the most frequent ones.
 LANGUAGES = 500
@@ -155,9 +155,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``docs`` (text, lang; rows with a null in either teach nothing). What comes to the driver is bounded
-    by DIMS, LANGUAGES and ``sample``. Equal rows are sampled together."""
+    by DIMS, LANGUAGES and ``sample``. Equal rows are sampled together and count once: of a language of at most ``sample``
+    different texts all are learned, however often each comes."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    count = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    r = F.xxhash64("text", "lang")
+    count = rows.select("lang", r.alias("r")).groupBy("lang").agg(F.countDistinct("r").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     langs = sorted(r["lang"] for r in count)
     df = rows.select("text").mapInArrow(_document_frequencies, "gram int, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
     dense = np.zeros(DIMS + 1)
@@ -166,9 +168,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if not langs:
         return model
     share = F.lit(0.0)
-    for r in count:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample / r["n"])).otherwise(share)
-    r = F.xxhash64("text", "lang")
+    for c in count:
+        share = F.when(F.col("lang") == c["lang"], min(1.0, sample / c["n"])).otherwise(share)
     chosen = rows.withColumn("r", r).where((F.shiftrightunsigned("r", 11) / F.lit(float(1 << 53))) < share).dropDuplicates(["r"])
     got = chosen.select("text", "lang", "r").mapInArrow(_features, "lang string, r bigint, grams array<int>, counts array<int>").toArrow().to_pylist()
     got.sort(key=lambda x: x["r"])

@@ -48,6 +48,17 @@ def test_language_accuracy(spark):
     assert len(held) > 100 and sum(held) / len(held) > 0.99
 
 
+def test_language_of_copies(spark):
+    """A language of few texts copied very often is learned from all of them."""
+    rng = random.Random(7)
+    vocabulary = {"aa": "the of and that with house water".split(), "bb": "der die und nicht haus wasser".split(), "cc": "le la et maison eau dans".split()}
+    text = lambda x: " ".join(rng.choices(vocabulary[x], k=12))
+    few = [text("cc") for _ in range(8)]
+    rows = [(i, text(x), x) for i in range(400) for x in [("aa", "bb")[i % 2]]] + [(1000 + i, few[i % 8], "cc") for i in range(8000)]
+    model = op01_language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=40)
+    assert model.langs == ["aa", "bb", "cc"] and all(model.predict(t.encode())[0] == "cc" for t in few)
+
+
 def mixed(rows):
     """The mix by sorting, in plain Python."""
     size = [(r[0], r[3], len(words(r[1]))) for r in rows]

@@ -22,7 +22,7 @@ BITS, GRAMS = 15, 3
 DIMS = 1 << BITS
 #: Training rows for the classifier: about so many different texts of each language, chosen by a hash of the row.
 SAMPLE = 400
-#: Languages learned: the most frequent ones.
+#: Languages that the driver can hold the weights of; with more, training fails.
 LANGUAGES = 500
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -159,7 +159,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     different texts all are learned, however often each comes."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     r = F.xxhash64("text", "lang")
-    count = rows.select("lang", r.alias("r")).groupBy("lang").agg(F.countDistinct("r").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    count = rows.select("lang", r.alias("r")).groupBy("lang").agg(F.countDistinct("r").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(count) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: their weights don't fit the driver, and none is left out")
     langs = sorted(r["lang"] for r in count)
     df = rows.select("text").mapInArrow(_document_frequencies, "gram int, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
     dense = np.zeros(DIMS + 1)

@@ -59,6 +59,15 @@ def test_language_of_copies(spark):
     assert model.langs == ["aa", "bb", "cc"] and all(model.predict(t.encode())[0] == "cc" for t in few)
 
 
+def test_too_many_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words", f"l{i % 3}") for i in range(9)], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(op01_language, "LANGUAGES", 3)
+    assert op01_language.train(docs).langs == ["l0", "l1", "l2"]
+    monkeypatch.setattr(op01_language, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        op01_language.train(docs)
+
+
 def mixed(rows):
     """The mix by sorting, in plain Python."""
     size = [(r[0], r[3], len(words(r[1]))) for r in rows]

@@ -105,7 +105,7 @@ def _keep(df: DataFrame) -> DataFrame:
 def crawl(spark: SparkSession, seeds: list[str], fetch: Callable[[DataFrame], DataFrame], robots: DataFrame | None = None, settings: Settings = Settings(), max_pages: int | None = None, seen: DataFrame | None = None) -> CrawlResult:
     """Fetches breadth first from the seeds, each URL once: depth by depth the frontier is what the last one links to and
     was never seen. Only HTML is kept; depth ``crawl_max_depth`` is fetched but not expanded. At most ``max_pages``
-    pages, in frontier order."""
+    pages, in frontier order; URLs that fail or are skipped don't count, so a depth goes on until that many are crawled."""
     most = settings.crawl_max_pages if max_pages is None else max_pages
     start = [(u, 0, i) for i, u in enumerate(dict.fromkeys(x for x in map(urls.py_normalise, urls.valid_seeds(seeds)) if x))]
     frontier = spark.createDataFrame(start, "url string, depth int, seq bigint")
@@ -113,19 +113,28 @@ def crawl(spark: SparkSession, seeds: list[str], fetch: Callable[[DataFrame], Da
     rules = robots if robots is not None else spark.createDataFrame([], "base_url string, body string")
     log, crawled = spark.createDataFrame([], PAGE), 0
     for depth in range(settings.crawl_max_depth + 1):
-        named = frontier.withColumn("url_hash", urls.url_hash(F.col("url"))).join(seen, "url_hash", "left_anti").dropDuplicates(["url_hash"])
-        named = _keep(named.orderBy("seq").limit(most - crawled) if crawled < most else named.limit(0))
-        seen = _keep(seen.union(named.select("url_hash")))
-        checked = robots_filter(named.select("url", "depth", "seq"), rules, settings.user_agent)
-        got = _keep(fetch(checked.where("allowed")))
-        is_html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(False))
-        status = F.when(~F.col("allowed"), "skipped").when(F.col("error").isNotNull(), "failed").when(~is_html, "skipped").otherwise("crawled")
-        x = checked.join(got, "url", "left").withColumn("status", status).withColumn("html", F.when(F.col("status") == "crawled", F.col("html")))
-        fields = page_links(x.where("status = 'crawled'").select("url", "html"))
-        x = x.join(fields, "url", "left").select("url", "depth", "seq", "status", "html", F.col("crawl_title").alias("title"), "links", F.octet_length("html").cast("bigint").alias("bytes"), "http_status")
-        level = _keep(x)
+        left = _keep(frontier.withColumn("url_hash", urls.url_hash(F.col("url"))).join(seen, "url_hash", "left_anti").dropDuplicates(["url_hash"]))
+        level = spark.createDataFrame([], PAGE)
+        while crawled < most:
+            named = _keep(left.orderBy("seq").limit(most - crawled))
+            taken, asked = named.count(), most - crawled
+            if not taken:
+                break
+            seen = _keep(seen.union(named.select("url_hash")))
+            checked = robots_filter(named.select("url", "depth", "seq"), rules, settings.user_agent)
+            got = _keep(fetch(checked.where("allowed")))
+            is_html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(False))
+            status = F.when(~F.col("allowed"), "skipped").when(F.col("error").isNotNull(), "failed").when(~is_html, "skipped").otherwise("crawled")
+            x = checked.join(got, "url", "left").withColumn("status", status).withColumn("html", F.when(F.col("status") == "crawled", F.col("html")))
+            fields = page_links(x.where("status = 'crawled'").select("url", "html"))
+            x = x.join(fields, "url", "left").select("url", "depth", "seq", "status", "html", F.col("crawl_title").alias("title"), "links", F.octet_length("html").cast("bigint").alias("bytes"), "http_status")
+            part = _keep(x)
+            level = level.union(part)
+            crawled += part.where("status = 'crawled'").count()
+            if taken < asked:
+                break
+            left = _keep(left.join(named.select("url_hash"), "url_hash", "left_anti"))
         log = log.union(level)
-        crawled += level.where("status = 'crawled'").count()
         if depth == settings.crawl_max_depth or crawled >= most:
             break
         nexts = level.select("seq", F.posexplode_outer("links").alias("i", "url")).where(F.col("url").isNotNull())

@@ -117,6 +117,17 @@ def test_crawl(spark, web):
     assert cr.crawl(spark, ["http://e.com/a"], cr.table_fetch(web), seen=got.seen).log.count() == 0
 
 
+def test_crawl_goes_on_after_failures(spark):
+    """What fails or is skipped leaves its budget to the rest of its depth."""
+    hub = PAGE.format(t="hub", b="x", l="".join(f'<a href="/{x}">x</a>' for x in ("no1", "private/1", "no2", "good", "more")))
+    rows = [("http://e.com/hub", hub), *((f"http://e.com/{x}", PAGE.format(t=x, b="x", l="")) for x in ("good", "more"))]
+    web = spark.createDataFrame([(u, h, "text/html", 200, None) for u, h in rows], "url string, html string, content_type string, http_status int, error string")
+    robots = spark.createDataFrame([("http://e.com", "User-agent: *\nDisallow: /private/\n")], "base_url string, body string")
+    log = cr.crawl(spark, ["http://e.com/hub"], cr.table_fetch(web), robots, max_pages=2).log.collect()
+    at = {r["url"].removeprefix("http://e.com/"): r["status"] for r in log}
+    assert at == {"hub": "crawled", "no1": "failed", "private/1": "skipped", "no2": "failed", "good": "crawled"} and len(log) == 5
+
+
 def test_service(spark, web, tmp_path):
     engine = SearchEngine(spark, str(tmp_path), Settings())
     assert engine.crawl(["http://e.com/a"], cr.table_fetch(web)).first()["pages_crawled"] == 6

@@ -12,6 +12,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import BooleanType
 
 from siltstone.config import Settings
@@ -137,7 +138,9 @@ def crawl(spark: SparkSession, seeds: list[str], fetch: Callable[[DataFrame], Da
         log = log.union(level)
         if depth == settings.crawl_max_depth or crawled >= most:
             break
-        nexts = level.select("seq", F.posexplode_outer("links").alias("i", "url")).where(F.col("url").isNotNull())
+        # Only pages crawled have links, at most max_pages: their places are renumbered, or they outgrow a bigint at depth 3.
+        order = level.where("status = 'crawled'").withColumn("seq", F.row_number().over(Window.orderBy("seq")).cast("bigint"))
+        nexts = order.select("seq", F.posexplode_outer("links").alias("i", "url")).where(F.col("url").isNotNull())
         frontier = nexts.groupBy("url").agg(F.min(F.struct("seq", "i")).alias("at")).select("url", F.lit(depth + 1).alias("depth"), (F.col("at.seq") * 1_000_000 + F.col("at.i")).alias("seq"))
         if frontier.isEmpty():
             break

@@ -273,7 +273,7 @@ def _web(spark, d) -> DataFrame:
 @_query("crawl_frontier")
 def crawl_frontier(spark, d):
     seeds = [r[0] for r in _table(spark, d, "pages").orderBy("page_id").select("url").limit(20).collect()]  # a crawl has at most 20 seeds
-    got = cr.crawl(spark, seeds, cr.table_fetch(_web(spark, d)), settings=Settings(crawl_max_depth=1))
+    got = cr.crawl(spark, seeds, cr.table_fetch(_web(spark, d)), settings=Settings())
     return got.log.select("url", "depth", "status", "title", F.size("links").alias("links"))
 
 

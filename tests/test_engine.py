@@ -10,6 +10,7 @@ from siltstone.operators import index as ix
 from siltstone.operators import query as qy
 from siltstone.operators import rank
 from siltstone.operators.snippet import py_snippet, snippet
+from siltstone.plans import catalog
 from siltstone.plans.service import SearchEngine
 from siltstone.sources import store
 from siltstone.streaming.incremental import index_stream, raw_documents
@@ -128,6 +129,15 @@ def test_crawl_goes_on_after_failures(spark):
     assert at == {"hub": "crawled", "no1": "failed", "private/1": "skipped", "no2": "failed", "good": "crawled"} and len(log) == 5
 
 
+def test_crawl_frontier_follows_links(spark, tmp_path):
+    """The registered query goes to the default depth, from the last of its twenty seeds too."""
+    link = lambda i: f'<a href="/{i + 1}">x</a>' if i >= 19 else ""
+    pages = [(i, f"http://e.com/{i}", PAGE.format(t=i, b="x", l=link(i))) for i in range(25)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["url"]: r["depth"] for r in catalog.crawl_frontier(spark, str(tmp_path)).collect()}
+    assert got == {f"http://e.com/{i}": max(0, i - 19) for i in range(23)}
+
+
 def test_service(spark, web, tmp_path):
     engine = SearchEngine(spark, str(tmp_path), Settings())
     assert engine.crawl(["http://e.com/a"], cr.table_fetch(web)).first()["pages_crawled"] == 6

@@ -8,30 +8,47 @@ memory map reaches it without copying. A manifest row per file, of the attempts
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import new_folder, stage
+from siltstone.llm.textkit import chunks
 
 LENGTH = 2048
 BATCH = 64
 END_ID = 2
 MANIFEST = "part int, file string, docs bigint, tokens bigint"
+INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 TOKENIZER = "byte_bpe_50k.json"
 
-#: A space between two visible characters always ends a pre-token of byte-level BPE, so texts may be cut there.
-_CUT = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0]) (?=[^\s\x00-\x20\x7f-\xa0])")
-_STOPS = frozenset(".,:;!?")
+#: Kinds of bytes: white space, letters, digits, other visible ASCII but the apostrophe, the apostrophe, beyond ASCII.
+SPACE, LETTER, DIGIT, SIGN, QUOTE, HIGH = range(1, 7)
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = SIGN
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = SPACE
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = LETTER
+_KIND[0x30:0x3A] = DIGIT
+_KIND[0x27] = QUOTE
+_KIND[0x80:] = HIGH
+
+#: Characters that byte-level BPE has for bytes: visible ones of Latin-1 for themselves, then the rest in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+#: Words of letters below this are one pre-token and go to the model directly.
+_LATIN = "\u0250"
+#: Bytes of text encoded at once.
+CODED = 8 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,89 +58,126 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library. Texts are cut at spaces where the pre-tokenizer cuts as well, and
-    the ids of pieces are remembered, at most 2 * ``keep`` of them, so that the library encodes each piece once."""
+    """Ids of whole texts by the tokenizers library, which encodes each different piece of text once.
 
-    def __init__(self, path: str, keep: int = 500_000):
+    A batch is cut into pieces where byte-level pre-tokenisation always ends a token, whatever follows (see :func:`cuts`).
+    Pieces already known are found in one pass over Arrow arrays; what is new goes to the library. At most ``keep`` pieces
+    and ``keep_bytes`` of them stay known from batch to batch; beyond that, those that the last batch used."""
+
+    def __init__(self, path: str, keep: int = 500_000, keep_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.keep, self.new, self.old = keep, {}, {}
-        newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of " " + piece for all pieces, of which none is empty or has white space at an end."""
-        if len(self.new) > self.keep:
-            self.old, self.new = self.new, {}
-        plain: set[str] = set()
-        compound: list[str] = []
-        for p in pieces:
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
-            elif len(p) > 1 and p[-1] in _STOPS and p[:-1].isalpha():
-                compound.append(p)
-                if p[:-1] not in self.new:
-                    plain.add(p[:-1])
-            elif self.newline is None or len(p.split()) != 1 or not p.isprintable():
-                self.new[p] = self._ids(" " + p)
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.tokenize = self.library.model.tokenize
+        self.keep, self.keep_bytes = keep, keep_bytes
+        self.known, self.ids, self.sizes = pa.array([], pa.large_binary()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def _library(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, p in enumerate(pieces):
+            text = p.decode("utf-8", "replace")
+            word = text[1:] if text[0] == " " else text
+            if word.isalpha() and (word.isascii() or max(word) < _LATIN):
+                out[i] = [t.id for t in self.tokenize(p.decode("latin-1").translate(_BYTES))]
             else:
-                plain.add(p)
-        todo = list(plain)
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
-            ids = np.array(self.library.encode("\n".join(" " + p for p in part), add_special_tokens=False).ids, self.dtype)
-            runs = np.split(ids, np.flatnonzero(ids == self.newline))
-            if len(runs) != len(part):
-                raise ValueError("the tokenizer does not cut at line ends")
-            self.new.update((p, (r[1:] if i else r).tobytes()) for i, (p, r) in enumerate(zip(part, runs)))
-        stops = {s: self._ids(s) for s in {p[-1] for p in compound}}
-        for p in compound:
-            self.new[p] = self.new[p[:-1]] + stops[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts, unknown = [], set()
-        known = self.new.get
-        for text in texts:
-            first, *pieces = text.split(" ")
-            got = list(map(known, pieces))
-            missing = {p for p, ids in zip(pieces, got) if ids is None} if None in got else ()
-            if any(not p or not _visible(p[0]) or not _visible(p[-1]) for p in missing) or pieces and not (first and _visible(first[-1])):
-                first, *pieces = _CUT.split(text)
-                got = list(map(known, pieces))
-                missing = {p for p, ids in zip(pieces, got) if ids is None}
-            cuts.append((first, pieces, got, bool(missing)))
-            unknown.update(missing)
-        if unknown:
-            self._learn(unknown)
-        out = []
-        for first, pieces, got, lacks in cuts:
-            if lacks:
-                got = [self.new[p] if ids is None else ids for p, ids in zip(pieces, got)]
-            out.append((self._ids(first) if first else b"") + b"".join(got))
+                rest.append((i, text))
+        for (i, _), e in zip(rest, self.library.encode_batch_fast([x for _, x in rest], add_special_tokens=False)):
+            out[i] = e.ids
         return out
 
+    def _learn(self, pieces: pa.LargeBinaryArray) -> None:
+        parts, sizes = [self.ids], [self.sizes]
+        for a in range(0, len(pieces), 1 << 14):
+            coded = self._library(pieces.slice(a, 1 << 14).to_pylist())
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            parts.append(np.fromiter(chain.from_iterable(coded), self.dtype, int(sizes[-1].sum())))
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.ids, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Keeps the pieces of these numbers alone."""
+        self.known, (self.ids, self.sizes) = self.known.take(pa.array(used)), (_gather(self.ids, self.sizes, used), self.sizes[used])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        data = b"".join(texts)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        if not data:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        bounds = np.concatenate([[0], ends])
+        cut = cuts(np.frombuffer(data, np.uint8))
+        cut[bounds] = True
+        at = np.flatnonzero(cut)
+        for special in self.special:  # texts with an added token's string are the library's alone
+            if special in data:
+                for i, t in enumerate(texts):
+                    if special in t:
+                        at = at[(at <= bounds[i]) | (at >= bounds[i + 1])]
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        place = pa.compute.index_in(pieces.dictionary, value_set=self.known)
+        if place.null_count:
+            new = place.is_null()
+            number = np.cumsum(np.asarray(new)) - 1 + len(self.known)
+            self._learn(pieces.dictionary.filter(new))
+            place = pa.compute.if_else(new, pa.array(number.astype(np.int32)), place)
+        place = place.to_numpy()
+        which = place[pieces.indices.to_numpy()]
+        ids, sizes = _gather(self.ids, self.sizes, which), self.sizes[which]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        if len(self.known) > self.keep or self.known.nbytes > self.keep_bytes:
+            self._forget(place if len(place) <= self.keep and pieces.dictionary.nbytes <= self.keep_bytes else place[:0])
+        return ids, np.diff(total[np.searchsorted(at, bounds)])
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of ``flat``, sizes[i] long each, of the given numbers, end to end."""
+    starts = np.cumsum(sizes) - sizes
+    size = sizes[which]
+    place = np.repeat(starts[which] - (np.cumsum(size) - size), size)
+    place += np.arange(len(place))
+    return flat[place]
+
+
+def cuts(a: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 where a pre-token ends whatever the text around: before white space that follows anything visible;
+    after a lone line end or tab between visible characters; between an ASCII letter and a sign other than the apostrophe
+    (contractions hold that). What stands before such a place is cut alike with or without what follows, and the rest
+    alike with or without what stands before."""
+    kind = _KIND[a]
+    before, here = kind[:-1], kind[1:]
+    cut = (before == LETTER) & (here == SIGN) | (before == SIGN) & (here == LETTER)
+    gap = here == SPACE
+    cut |= gap & (before >= LETTER) & (before <= QUOTE)
+    high = np.flatnonzero(gap & (before == HIGH))  # the last byte of a character that may be white space
+    cut[high[~_blank(a, high)]] = True
+    lone = np.flatnonzero((before[1:] == SPACE) & (a[1:-1] != 0x20) & cut[:-1] & (here[1:] >= LETTER) & (here[1:] <= QUOTE)) + 1
+    cut[lone] = True
+    return np.concatenate([[True], cut, [True]])
+
+
+def _blank(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character whose last byte is at each place is white space beyond ASCII."""
+    z, y, x = a[at], a[np.maximum(at - 1, 0)], a[np.maximum(at - 2, 0)]
+    two = (y == 0xC2) & ((z == 0x85) | (z == 0xA0))
+    ogham = (x == 0xE1) & (y == 0x9A) & (z == 0x80)
+    general = (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+    return two | ogham | general | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    """This Python worker's encoder: Spark reuses workers, so what one task learns serves the next."""
+    """This Python worker's encoder: Spark reuses workers, so what one task learns serves the next. What it knows is bounded."""
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def _visible(c: str) -> bool:
-    return not c.isspace() and not (c <= " " or "\x7f" <= c <= "\xa0")
-
-
 class _Packer:
     """Writes ids end to end into one file of fixed-size lists."""
 
@@ -131,20 +185,16 @@ class _Packer:
         self.item = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(self.item, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer, self.length, self.batch, self.dtype = ipc.new_file(sink, self.schema), length, batch, dtype
-        self.held: list[bytes] = []
-        self.bytes = self.tokens = 0
-
-    def add(self, ids: bytes) -> None:
-        self.held.append(ids)
-        self.bytes += len(ids)
-        self.tokens += len(ids) // self.dtype.itemsize
-        full = self.length * self.batch * self.dtype.itemsize
-        if self.bytes >= full:
-            data = b"".join(self.held)
-            whole = len(data) // full * full
-            for a in range(0, whole, full):
-                self._write(np.frombuffer(data, self.dtype, self.length * self.batch, a), self.length * self.batch)
-            self.held, self.bytes = [data[whole:]], len(data) - whole
+        self.held, self.tokens = np.zeros(0, dtype), 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self.tokens += len(ids)
+        self.held = np.concatenate([self.held, ids])
+        full = self.length * self.batch
+        whole = len(self.held) // full * full
+        for a in range(0, whole, full):
+            self._write(self.held[a : a + full], full)
+        self.held = self.held[whole:].copy()
 
     def _write(self, ids: np.ndarray, real: int) -> None:
         mask = np.arange(len(ids)) < real
@@ -152,11 +202,10 @@ class _Packer:
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
-        if self.bytes:
-            ids = np.frombuffer(b"".join(self.held), self.dtype)
-            padded = np.zeros(-(-len(ids) // self.length) * self.length, self.dtype)
-            padded[: len(ids)] = ids
-            self._write(padded, len(ids))
+        if len(self.held):
+            padded = np.zeros(-(-len(self.held) // self.length) * self.length, self.dtype)
+            padded[: len(self.held)] = self.held
+            self._write(padded, len(self.held))
         self.writer.close()
 
 
@@ -165,7 +214,7 @@ def _write(folder: str, path: str, end_id: int, length: int, batch_size: int):
         name = f"{folder}/{uuid.uuid4().hex}"
         store, place = fs.FileSystem.from_uri(name)
         encoder = packer = None
-        index: list[tuple] = []
+        documents = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -173,22 +222,21 @@ def _write(folder: str, path: str, end_id: int, length: int, batch_size: int):
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 encoder = encoder_of(path)
                 sink = store.open_output_stream(place + ".arrow", compression=None)
+                index = store.open_output_stream(place + ".docs.arrow", compression=None)
                 packer = _Packer(sink, encoder.dtype, length, batch_size)
-                end = np.array([end_id], encoder.dtype).tobytes()
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for a in range(0, batch.num_rows, 256):
-                coded = encoder.encode([t or "" for t in texts.slice(a, 256).to_pylist()])
-                for d, c in zip(ids.slice(a, 256).to_pylist(), coded):
-                    start = packer.tokens
-                    packer.add(c + end)
-                    index.append((d, start, packer.tokens - start))
+                writer = ipc.new_file(index, INDEX)
+            for a, b, texts in chunks(batch, size=CODED):
+                ids, sizes = encoder.encode(texts)
+                start = packer.tokens + np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+                packer.add(np.insert(ids, np.cumsum(sizes), end_id))
+                writer.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(start), pa.array(sizes + 1)], schema=INDEX))
+                documents += b - a
         if packer is not None:
             packer.close()
+            writer.close()
             sink.close()
-            table = pa.table([pa.array(c, pa.int64()) for c in zip(*index)], names=["doc_id", "start", "n_tokens"])
-            with store.open_output_stream(place + ".docs.arrow", compression=None) as sink, ipc.new_file(sink, table.schema) as writer:
-                writer.write_table(table, max_chunksize=1 << 16)
-            row = [(TaskContext.get().partitionId(),), (name,), (len(index),), (packer.tokens,)]
+            index.close()
+            row = [(TaskContext.get().partitionId(),), (name,), (documents,), (packer.tokens,)]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "docs", "tokens"])
 
     return run
@@ -199,7 +247,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
 
     Returns the staged manifest: part (files in order), file (name without suffix), docs, tokens, start (ids in files
     before it). ``end_id`` follows every document, so an empty text has one id. A null doc_id sorts first; rows of equal
-    doc_id are in order of their texts. The strings of special tokens are ordinary text. No rows: no file."""
+    doc_id are in order of their texts. The string of an added token in a text is that token, as the library has it. No
+    rows: no file."""
     folder = folder or new_folder(docs.sparkSession, "tokens")
     x = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     manifest = stage(x.mapInArrow(_write(folder, path or tokenizer_path(), end_id, length, batch), MANIFEST), "token-manifest")
@@ -215,8 +264,11 @@ class TokenFile:
         source = pa.memory_map(place + ".arrow") if isinstance(store, fs.LocalFileSystem) else store.open_input_file(place + ".arrow")
         self.reader = ipc.open_file(source)
         self.length = self.reader.schema.field("ids").type.list_size
-        with ipc.open_file(store.open_input_file(place + ".docs.arrow")) as docs:
-            self.docs = docs.read_all()
+        self.index = ipc.open_file(store.open_input_file(place + ".docs.arrow"))
+
+    def docs(self) -> Iterator[pa.RecordBatch]:
+        for i in range(self.index.num_record_batches):
+            yield self.index.get_batch(i)
 
     def batches(self) -> Iterator[np.ndarray]:
         for i in range(self.reader.num_record_batches):
@@ -233,8 +285,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             file = TokenFile(row["file"])
             parts = file.batches()
-            now, at = np.zeros(0, np.uint16), 0
-            for docs in file.docs.to_batches(max_chunksize=1 << 16):
+            now, at = np.zeros(0, "<u2"), 0
+            for docs in file.docs():
                 sums = []
                 for n in docs.column("n_tokens").to_pylist():
                     crc = 0

@@ -8,20 +8,24 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, NullType, StringType
 
-#: Rows that a side may have to be broadcast; sides are a few dozen bytes a row. Beyond it the plan shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that a side may have to be broadcast. Beyond either the plan shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset
-    (a local session, as in tests) a temporary folder of this machine."""
+    """URI of the folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset and the
+    session is local, as in tests, a temporary folder of this machine. A cluster without the setting is an error: its
+    machines would each write to a disk of their own."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -44,10 +48,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has been counted to have at most ``rows`` rows; otherwise as it is, and
-    the join shuffles. Call it on a staged table: counting then reads only Parquet footers."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted to have at most ``rows`` rows of at most ``size`` bytes; otherwise
+    as it is, and the join shuffles. Call it on a staged table: counting then reads Parquet footers, and columns of
+    varying width only where the rows are few."""
+    n = df.count()
+    if n > rows:
+        return df
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, (AtomicType, NullType)) or isinstance(f.dataType, (StringType, BinaryType))]
+    held = n * 16 * len(df.columns)
+    if wide and n:
+        held += df.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0]
+    return F.broadcast(df) if held <= size else df
 
 
 def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -1,10 +1,10 @@
 """Benchmark decontamination by a positional index of the training documents, with DataFrame functions only.
 
-Each window of benchmark words is looked for by its rarest words: their counts over all documents are taken first, then
-one pass stores the postings (document, position) of just those words. Postings shifted by a word's place in its item
-meet at one offset of the item in the document; where at least two rare words agree, the whole item is intersected with
-the document's words at that offset, and runs of a window or more are occurrences. Documents without such offsets are
-never shuffled.
+One pass over the texts cuts them into words and stores the postings (term, document, position) of every word that the
+benchmark has, and of the end of each document, whose position is its number of words. Everything else reads that index.
+Each window of benchmark words is looked for by its two rarest words, by their counts over all documents: their postings,
+shifted by a word's place in its item, meet at one offset of the item in the document. Where they agree, the whole item is
+intersected with the document's postings at that offset, and runs of a window or more are occurrences.
 """
 
 from __future__ import annotations
@@ -17,18 +17,17 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import apart, small, stage
 
 WINDOW = 13
-#: Words after lowering A-Z; matched before lowering, A-Z count as letters.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def _lower(word: Column) -> Column:
-    """A-Z to a-z; other letters stay."""
-    ascii_only = F.octet_length(word) == F.char_length(word)
-    return F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
+#: ASCII characters that no word has.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+#: Stands for the end of a document; no word has this character.
+_END = "."
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    """Words of a text with A-Z as a-z: everything between is made a space, then cut there (a regular expression for
+    the words takes four times as long)."""
+    plain = F.translate(text, _BETWEEN + string.ascii_uppercase, " " * len(_BETWEEN) + string.ascii_lowercase)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -36,51 +35,50 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "k2": F.xxhash64(F.col("text"), F.col("doc_id").isNull())})
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """Staged words of ``items`` (item_id, text): item (a number for each different text), ids, n, j, term."""
+def item_words(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``items`` (item_id, text), staged: places (item, a number for each different text; n words; j, t) and the item_ids
+    (item, id) of each item; and of their words and the end mark the number t of each term, -1 of the mark."""
     x = items.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), _words(F.col("text")).alias("w"))
-    x = x.where(F.size("w") > 0).withColumn("w", F.transform("w", _lower))
-    x = x.groupBy("w").agg(F.collect_set("id").alias("ids")).withColumn("item", F.xxhash64(F.array_join("w", " "), F.size("w")))
-    return stage(x.select("item", "ids", F.size("w").alias("n"), F.posexplode("w").alias("j", "term")), "bench-words")
+    x = stage(x.where(F.size("w") > 0).withColumn("item", F.xxhash64(F.array_join("w", " "), F.size("w"))), "bench-items")
+    return x.select("item", "id").distinct(), x.select("item", F.size("w").alias("n"), F.posexplode("w").alias("j", "term")).distinct()
 
 
-def _doc_words(docs: DataFrame, *keys: str) -> DataFrame:
-    """One row per word: keys, pos, term."""
-    each = docs.select(*keys, F.posexplode_outer(_words(F.col("text"))).alias("pos", "raw")).where(F.col("raw").isNotNull())
-    return each.select(*keys, "pos", _lower(F.col("raw")).alias("term"))
+def vocabulary(places: DataFrame) -> DataFrame:
+    """Staged (term, t) of all words of ``places`` and of the end of a document, -1."""
+    words = places.select("term").distinct().withColumn("t", F.monotonically_increasing_id())
+    return stage(words.union(words.sparkSession.createDataFrame([(_END, -1)], "term string, t bigint")), "bench-terms")
 
 
-def rare_terms(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Staged anchors (item, j, term): for every window of every item its two rarest words by their counts in ``docs``.
-    Windows with a word that no document has can't occur and get none."""
-    vocabulary = small(stage(terms.select("term").distinct(), "bench-terms"))
-    counts = stage(_doc_words(docs).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("cf")), "bench-counts")
-    placed = terms.join(small(counts), "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("j") - window + 1), F.least(F.col("j"), F.greatest(F.lit(0), F.col("n") - window)))
-    each = placed.select("item", "n", "j", "term", "cf", F.explode(starts).alias("start"))
-    rank = Window.partitionBy("item", "start").orderBy("cf", "j")
-    each = each.withColumns({"rank": F.row_number().over(rank), "least": F.min("cf").over(Window.partitionBy("item", "start"))})
-    return stage(each.where("rank <= 2 and least > 0").select("item", "n", "j", "term").distinct(), "bench-anchors")
+def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Staged postings (t, k1, k2, doc_id, pos) of the ``terms`` in ``docs`` (with keys), and of each row's end."""
+    words = F.concat(F.coalesce(_words(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(_END)))
+    each = docs.select("k1", "k2", F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(words).alias("pos", "term"))
+    return stage(each.join(small(terms), "term").select("t", "k1", "k2", "doc_id", "pos"), "bench-index")
 
 
-def postings(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Staged positional index of the anchors' words in ``docs`` with keys: term, k1, k2, pos."""
-    wanted = small(stage(anchors.select("term").distinct(), "bench-anchor-terms"))
-    return stage(_doc_words(docs, "k1", "k2").join(wanted, "term").select("term", "k1", "k2", "pos"), "bench-postings")
+def rarest(index: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Staged anchors (item, n, j, t): for every window of every item its two rarest words by their counts in the index;
+    of equally rare ones those whose place divides best by the window, which serve most windows. Windows with a word that
+    no document has can't occur and get none."""
+    counts = stage(index.where("t >= 0").groupBy("t").agg(F.count("*").alias("cf")), "bench-counts")
+    placed = places.join(small(counts), "t", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("j") - window + 1), F.least(F.col("j"), F.greatest(F.lit(0), F.col("n") - window)))
+    each = placed.select("item", "n", "j", "t", "cf", F.explode(starts).alias("start"))
+    rank = Window.partitionBy("item", "start").orderBy("cf", F.col("j") % window, "j")
+    each = each.withColumns({"rank": F.row_number().over(rank), "least": F.min("cf").over(Window.partitionBy("item", "start"))})
+    return stage(each.where("rank <= 2 and least > 0").select("item", "n", "j", "t").distinct(), "bench-anchors")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Staged maximal runs of at least a window (an item shorter than that: whole) of each item in each document of
-    ``docs`` (with keys): k1, k2, item, first, last (positions in the document)."""
-    terms = item_words(items)
-    anchors = rare_terms(docs, terms, window)
-    index = postings(docs, anchors)
-    agree = index.join(small(anchors), "term").groupBy("k1", "k2", "item", "n", (F.col("pos") - F.col("j")).alias("delta")).agg(F.countDistinct("j").alias("rare"))
+def occurrences(index: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Staged maximal runs of at least a window (an item shorter than that: whole) of each item (``places``: item, n, j,
+    t) in each document of the index: k1, k2, item, first, last (positions in the document)."""
+    anchors = small(rarest(index, places, window))
+    agree = index.join(anchors, "t").groupBy("k1", "k2", "item", "n", (F.col("pos") - F.col("j")).alias("delta")).agg(F.countDistinct("j").alias("rare"))
     found = stage(agree.where(F.col("rare") >= F.least(F.lit(2), "n")).select("k1", "k2", "item", "delta"), "bench-offsets")
     keys = small(stage(found.select("k1", "k2").distinct(), "bench-docs"))
-    there = _doc_words(docs.join(keys, ["k1", "k2"], "left_semi"), "k1", "k2")
-    wanted = found.join(small(terms.select("item", "n", "j", "term")), "item").withColumn("pos", F.col("delta") + F.col("j"))
-    same = there.join(wanted, ["k1", "k2", "pos", "term"]).select("k1", "k2", "item", "n", "delta", "j").distinct()  # equal rows of docs
+    there = index.select("k1", "k2", "pos", "t").join(keys, ["k1", "k2"], "left_semi")
+    wanted = found.join(small(places), "item").withColumn("pos", F.col("delta") + F.col("j"))
+    same = there.join(wanted, ["k1", "k2", "pos", "t"]).select("k1", "k2", "item", "n", "delta", "j").distinct()  # equal rows of docs
     run = F.row_number().over(Window.partitionBy("k1", "k2", "item", "delta").orderBy("j"))
     runs = same.withColumn("run", F.col("j") - run).groupBy("k1", "k2", "item", "n", "delta", "run").agg(F.min("j").alias("a"), F.max("j").alias("b"))
     runs = runs.where(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), "n"))
@@ -90,15 +88,18 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 def proximity(docs: DataFrame, items: DataFrame, within: int = 2 * WINDOW) -> DataFrame:
     """Documents in which all different words of an item (item_id, text) come within ``within`` positions: doc_id,
     item_id, from_pos. Postings of all item words are gathered in overlapping blocks of positions, so that no document
-    is one group; best for items of rare words."""
-    terms = item_words(items)
-    vocabulary = terms.select("item", F.explode("ids").alias("item_id"), "term").distinct()
-    need = vocabulary.groupBy("item_id").agg(F.countDistinct("term").alias("need"))
-    hits = _doc_words(_key(docs), "doc_id", "k1", "k2").join(vocabulary, "term")
+    is one group; best for items of rare words. Null and wordless texts have no match, items without words neither; equal
+    rows count as one; a null item_id is the empty string. No rows: no rows."""
+    ids, places = item_words(items)
+    terms = vocabulary(places)
+    index = positional_index(_key(docs), terms)
+    wanted = ids.withColumnRenamed("id", "item_id").join(places.join(terms, "term"), "item").select("item_id", "t").distinct()
+    need = wanted.groupBy("item_id").agg(F.count("*").alias("need"))
+    hits = index.join(wanted, "t")
     block = F.floor(F.col("pos") / within)
     hits = hits.withColumn("block", F.explode(F.array(block, block - 1)))
     span = Window.partitionBy("k1", "k2", "item_id", "block").orderBy("pos").rangeBetween(0, within - 1)
-    hits = hits.withColumn("got", F.size(F.collect_set("term").over(span))).join(need, "item_id").where(F.col("got") == F.col("need"))
+    hits = hits.withColumn("got", F.size(F.collect_set("t").over(span))).join(need, "item_id").where(F.col("got") == F.col("need"))
     return hits.groupBy("doc_id", "k1", "k2", "item_id").agg(F.min("pos").alias("from_pos")).select("doc_id", "item_id", "from_pos")
 
 
@@ -108,23 +109,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     n_hit counts words inside occurrences, each once; contaminated if that is at least 1/share of the words. Null or
     wordless text: no words, never contaminated. Items without words never occur; a null item_id is the empty string;
     items of equal item_id count once. Equal rows get equal results. No rows: no rows."""
-    keyed = _key(docs.select("doc_id", "text"))
-    runs = occurrences(keyed, items, window)
-    ids = item_words(items).select("item", "ids").distinct()
+    ids, places = item_words(items)
+    terms = vocabulary(places)
+    index = positional_index(_key(docs.select("doc_id", "text")), terms)
+    runs = occurrences(index, stage(places.join(small(terms), "term").select("item", "n", "j", "t"), "bench-places"), window)
     hits = runs.select("k1", "k2", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
-    which = runs.select("k1", "k2", "item").distinct().join(small(ids), "item").select("k1", "k2", F.explode("ids").alias("id"))
-    which = which.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    which = runs.select("k1", "k2", "item").distinct().join(small(ids), "item").select("k1", "k2", "id").distinct()
+    which = which.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    which = which.select("k1", "k2", F.size("ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
     found = small(stage(hits.join(which, ["k1", "k2"]), "bench-found"))
-    x = keyed.select("doc_id", "k1", "k2", F.coalesce(F.regexp_count(F.col("text"), F.lit(_WORD)), F.lit(0)).cast("bigint").alias("n_words")).join(found, ["k1", "k2"], "left")
-    x = x.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("bigint"), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
+    x = index.where("t < 0").select("doc_id", "k1", "k2", F.col("pos").cast("bigint").alias("n_words")).join(found, ["k1", "k2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return x.select(
-        "doc_id", "n_words", "n_hit", F.size("ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "k1", "k2",
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(b""), 256)).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), "k1", "k2",
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay."""
+    """``docs`` without contaminated rows (see :func:`decontaminate`); all columns stay, also extra ones whose names clash
+    with those here. Null and wordless texts stay, equal rows stay or go together, no rows: no rows."""
     x, back = apart(docs, "doc_id", "text")
     bad = stage(decontaminate(x, items, window, share).where("contaminated").select("k1", "k2").distinct(), "bench-bad")
     return back(_key(x).join(small(bad), ["k1", "k2"], "left_anti"))

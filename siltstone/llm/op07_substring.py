@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import small, stage
-from siltstone.llm.textkit import U, Words, chunks, mix, powers, windows, words
+from siltstone.llm.textkit import U, Words, chunks, mix, sums, windows, words
 
 WINDOW = 13
 ROUNDS = 2
@@ -83,11 +83,9 @@ def representatives(w: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tup
     symbols, low, high = parse(w, rounds)
     if not len(at) or not len(low):
         return at, np.zeros(len(at), U), np.zeros(len(at), bool)
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(w.hashes * power[:n], out=total[1:])
     a, b = np.maximum(low, 0), np.minimum(high + 1, n)
-    keys = mix((total[b] - total[a]) * inverse[a] + (symbols.names ^ (b - a).astype(U)))
+    before, through, inverse = sums(w.hashes, [a, b])
+    keys = mix((through - before) * inverse + (symbols.names ^ (b - a).astype(U)))
     rank = mix(keys * _SPREAD)
     p = np.searchsorted(low, at)
     q = np.searchsorted(high, at + window - 1, side="right")

@@ -1,7 +1,8 @@
 """Vectorised words, hashes and windows over many texts at once, for Arrow functions.
 
 A word's hash is a polynomial over its bytes modulo 2**64, read off one running sum for the whole buffer, then mixed.
-Hashes depend only on the constants below, so equal words get equal hashes on every executor and in every run.
+Hashes depend only on the constants below, so equal words get equal hashes on every executor and in every run. The sum is
+taken block by block, so that a very long text needs no tables of its length, neither then nor later.
 """
 
 from __future__ import annotations
@@ -24,16 +25,53 @@ _BYTE_LOWER[65:91] = _BYTE[97:123]
 #: Bytes of text handled at once; a longer text is still handled whole.
 CHUNK = 1 << 20
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Bytes or words of one block of running sums; tables are kept up to this length.
+BLOCK = 1 << 18
+_tables: list[np.ndarray] = []
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, base, U)]))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (_BASE, _INVERSE)]
-    return _powers[0][:n], _powers[1][:n]
+    """_BASE**i and its inverse for i < n, at most a block."""
+    if not _tables:
+        _tables[:] = [_power(_BASE, BLOCK), _power(_INVERSE, BLOCK)]
+    return _tables[0][:n], _tables[1][:n]
+
+
+def sums(values: np.ndarray, places: list[np.ndarray], table: np.ndarray | None = None) -> list[np.ndarray]:
+    """For ascending places, the sums of values[i] * _BASE**i (of table[values[i]] if given) over i < place, and of the first
+    of ``places`` also what divides out _BASE**place."""
+    n = len(values)
+    out = [np.empty(len(p), U) for p in places]
+    inverse = np.empty(len(places[0]), U)
+    carry, scale, back = U(0), 1, 1
+    far, near = pow(_BASE, BLOCK, 1 << 64), pow(_INVERSE, BLOCK, 1 << 64)
+    for o in range(0, max(n, 1), BLOCK):
+        part = values[o : o + BLOCK]
+        power, inverted = powers(len(part))
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum((part if table is None else table[part]) * power, out=total[1:])
+        total *= U(scale)
+        total += carry
+        last = o + BLOCK >= n
+        for i, (p, x) in enumerate(zip(places, out)):
+            a, b = np.searchsorted(p, [o, n + 1 if last else o + BLOCK])
+            x[a:b] = total[p[a:b] - o]
+            if not i:
+                inverse[a:b] = powers(BLOCK)[1][np.minimum(p[a:b] - o, BLOCK - 1)] * U(back)
+        carry = total[-1]
+        scale, back = scale * far % (1 << 64), back * near % (1 << 64)
+    return [*out, inverse]
+
+
+def folded(values: np.ndarray) -> np.ndarray:
+    """The sum of values[i] * _BASE**i, one number for all of them."""
+    with np.errstate(over="ignore"):
+        return sums(values, [np.array([len(values)])])[0]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,15 +103,16 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     """Words of all texts; with ``lower`` A-Z hash as a-z (the buffer keeps them)."""
     buffer = b"\n".join(texts) + b"\n"
     a = np.frombuffer(buffer, np.uint8)
-    inside = ~_SPACE[a]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.concatenate([[0], edge])
+    edges = []
+    for o in range(0, len(a), BLOCK):  # a block and the byte before it, white space before the first
+        inside = ~_SPACE[a[max(0, o - 1) : o + BLOCK]]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + max(1, o)
+        edges.append(np.concatenate([[0], edge]) if not o and inside[0] else edge)
+    edge = np.concatenate(edges)
     starts, ends = edge[0::2], edge[1::2]
-    power, inverse = powers(len(a))
-    total = np.zeros(len(a) + 1, U)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[a] * power, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    with np.errstate(over="ignore"):
+        low, high, inverse = sums(a, [starts, ends], _BYTE_LOWER if lower else _BYTE)
+        hashes = mix((high - low) * inverse)
     begin = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     first = np.concatenate([[0], np.searchsorted(starts, begin)]).astype(np.int64)
     return Words(buffer, starts, ends, first, hashes)
@@ -84,12 +123,11 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hashes)
     if n < size:
         return np.zeros(n, U), np.zeros(n, bool)
-    power, inverse = powers(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(w.hashes * power, out=total[1:])
     out = np.zeros(n, U)
     m = n - size + 1
-    out[:m] = mix((total[size:] - total[:m]) * inverse[:m] + U(size))
+    at = np.arange(m)
+    low, high, inverse = sums(w.hashes, [at, at + size])
+    out[:m] = mix((high - low) * inverse + U(size))
     left = np.repeat(w.first[1:], w.counts()) - np.arange(n)
     return out, left >= size
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from siltstone.llm import op01_language, op02_mixing, op03_html, op04_tokens, op05_decontamination, op06_jaccard, op07_substring, op08_media, op09_scoring, op10_warc, webp
+from siltstone.llm import common, op01_language, op02_mixing, op03_html, op04_tokens, op05_decontamination, op06_jaccard, op07_substring, op08_media, op09_scoring, op10_warc, textkit, webp
 from siltstone.llm.components import components
 from siltstone.llm.labelled_pages import PAGES
 from tests.llm.conftest import A, B, rows
@@ -126,10 +126,10 @@ def test_html(spark):
 
 
 def test_tokens(odd, none):
-    encoder = op04_tokens.Encoder(op04_tokens.tokenizer_path())
+    library = stock()
     manifest = op04_tokens.write_tokens(odd, length=64, batch=4)
     got = op04_tokens.read_tokens(manifest).collect()
-    want = [np.array([*encoder.library.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in rows()]
+    want = [np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4") for r in rows()]
     assert bag((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == bag((r[0], len(w), zlib.crc32(w.tobytes())) for r, w in zip(rows(), want))
     at = 0
     for r in sorted(got, key=lambda r: r["start"]):
@@ -144,14 +144,25 @@ def test_tokens(odd, none):
     assert op04_tokens.read_tokens(op04_tokens.write_tokens(none)).count() == 0
 
 
-def test_encoder():
+def stock():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(op04_tokens.tokenizer_path())
+
+
+@pytest.mark.parametrize("keep", [50, 500_000])
+def test_encoder(keep):
+    """Against the library as it comes, with white space of every kind, contractions and the added token anywhere."""
     rng = random.Random(2)
-    encoder = op04_tokens.Encoder(op04_tokens.tokenizer_path(), keep=50)
-    parts = ["a", "b c", " ", "  ", "\n", "\t", ".", ",", "'s", "don't", "é", " ", " \n", " ", "\x01", "<|endoftext|>", "#", "12", "漢", "🙂", "word,", "́", "_"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    encoder, library = op04_tokens.Encoder(op04_tokens.tokenizer_path(), keep=keep), stock()
+    parts = ["a", "b c", " ", "  ", "\n", "\t", "\r\n", "\n\n", ".", ",", "'s", "don't", "'", "x'", "ll", "(", ")", "-", "é", "à", "É", "\u00a0", " \n", "\u3000", "\u2003", "\x85", "\x01", "\x1c", "\x7f", "<|endoftext|>", "#", "12", "漢", "🙂", "word,", "\u0301", "_", "“", "–", "\ufeff"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(4000)]
+    texts += ["<|endoftext|>", "<|endoftext|> b", "a <|endoftext|> b", "a<|endoftext|>", "a <|endoftext|>b<|endoftext|><|endoftext|>", "<|endoftext", ""]
     for a in range(0, len(texts), 100):
-        for t, ids in zip(texts[a : a + 100], encoder.encode(texts[a : a + 100])):
-            assert np.frombuffer(ids, encoder.dtype).tolist() == encoder.library.encode(t, add_special_tokens=False).ids, t
+        part = texts[a : a + 100]
+        ids, sizes = encoder.encode([t.encode() for t in part])
+        for t, got in zip(part, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert got.tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_decontamination(odd, none, spark):
@@ -175,6 +186,35 @@ def test_decontamination(odd, none, spark):
     assert op05_decontamination.decontaminate(none, bench).count() == 0 and not any(r["contaminated"] for r in op05_decontamination.decontaminate(odd, bench.limit(0)).collect())
     near = op05_decontamination.proximity(odd, spark.createDataFrame([(1, "alpha5 alpha9"), (2, "alpha0 beta0")], "item_id bigint, text string"), 10)
     assert {r["item_id"] for r in near.collect()} == {"1"}
+    again = spark.createDataFrame([(1, "x " * 40), (2, "a x " * 30), (3, "x"), (4, "Z\x00x.x")], "item_id bigint, text string")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["x " * 100, "x " * 12, "y a x " * 20, "x a " * 50, "X"])], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in op05_decontamination.decontaminate(texts, again).collect()}
+    assert got == {0: (100, 100, 2), 1: (12, 12, 1), 2: (60, 20, 1), 3: (100, 100, 2), 4: (1, 1, 1)}
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    """Blocks change nothing: equal words and windows hash alike wherever they stand."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab é \n", k=rng.randint(0, 400))).encode() for _ in range(30)] + [b"x" * 300, b"", b" y"]
+    whole = textkit.words(texts, lower=True)
+    hashes, inside = textkit.windows(whole, 3)
+    for block in (1, 7, 64):
+        monkeypatch.setattr(textkit, "BLOCK", block)
+        monkeypatch.setattr(textkit, "_tables", [])
+        part = textkit.words(texts, lower=True)
+        assert all((getattr(part, x) == getattr(whole, x)).all() for x in ("starts", "ends", "first", "hashes"))
+        got, at = textkit.windows(part, 3)
+        assert (got == hashes).all() and (at == inside).all()
+    by: dict = {}
+    for a, b, h in zip(whole.starts, whole.ends, whole.hashes):
+        by.setdefault(whole.buffer[a:b], set()).add(int(h))
+    assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+
+
+def test_small(spark):
+    table = spark.createDataFrame([(i, "x" * 100) for i in range(100)], "i int, s string")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.small(table)) and not hinted(common.small(table, rows=99)) and not hinted(common.small(table, size=10_000)) and hinted(common.small(table.select("i"), size=10_000))
 
 
 def linked(rows, k, percent):

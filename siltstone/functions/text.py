@@ -99,8 +99,9 @@ def py_terms(text: str | None, stemmer: str = "suffix") -> list[str]:
     return [py_stem(w, stemmer) for w in py_raw_tokens(text) if SHORTEST <= len(w) <= LONGEST and w not in _STOP]
 
 
-def token_rows(docs: DataFrame, stemmer: str = "suffix", compose: bool = False) -> DataFrame:
+def token_rows(docs: DataFrame, stemmer: str = "suffix", compose: bool = True) -> DataFrame:
     """``docs`` (doc_id, text) to a row per kept token: doc_id, doc_len (all tokens), position (kept tokens only), term.
+    ``compose``: texts are composed first, as query words are.
 
     The outer explode keeps the optimiser from evaluating the token array again for a filter on its size."""
     text = nfc(F.col("text")) if compose else F.col("text")
@@ -109,8 +110,8 @@ def token_rows(docs: DataFrame, stemmer: str = "suffix", compose: bool = False)
     return stem_column(x.where(F.col("word").isNotNull()), "word", stemmer).select("doc_id", "doc_len", "position", "term")
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
+def token_counts(docs: DataFrame, compose: bool = True) -> DataFrame:
     """doc_id, token_count (all tokens) and kept_count of every row of ``docs`` (doc_id, text)."""
-    raw = F.coalesce(raw_tokens(F.col("text")), F.array().cast("array<string>"))
+    raw = F.coalesce(raw_tokens(nfc(F.col("text")) if compose else F.col("text")), F.array().cast("array<string>"))
     x = docs.select("doc_id", raw.alias("raw"))
     return x.select("doc_id", F.size("raw").alias("token_count"), F.size(kept_tokens(F.col("raw"))).alias("kept_count"))

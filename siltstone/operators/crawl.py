@@ -21,6 +21,7 @@ from siltstone.functions.html import page_links
 
 #: What a fetch returns for each url: body, content type, HTTP status, error (null if it succeeded).
 FETCHED = "url string, html string, content_type string, http_status int, error string"
+ROBOTS_SECONDS = 10
 PAGE = "url string, depth int, seq bigint, status string, html string, title string, links array<string>, bytes bigint, http_status int"
 
 
@@ -44,7 +45,8 @@ def robots_filter(targets: DataFrame, robots: DataFrame, agent: str) -> DataFram
     def check(rules: pd.Series, url: pd.Series) -> pd.Series:
         return pd.Series([allowed(r, u, agent) for r, u in zip(rules, url)])
 
-    x = targets.withColumn("__base", urls.base(F.col("url"))).join(robots.select(F.col("base_url").alias("__base"), F.col("body").alias("__rules")), "__base", "left")
+    rules = robots.groupBy(F.col("base_url").alias("__base")).agg(F.min("body").alias("__rules"))  # one row an authority, or targets multiply
+    x = targets.withColumn("__base", urls.base(F.col("url"))).join(rules, "__base", "left")
     return x.withColumn("allowed", F.coalesce(check("__rules", "url"), F.lit(True))).drop("__base", "__rules")
 
 
@@ -74,17 +76,41 @@ def http_fetch(settings: Settings) -> Callable[[DataFrame], DataFrame]:
     return lambda targets: targets.select("url", urls.domain(F.col("url")).alias("domain")).repartition("domain").mapInPandas(run, FETCHED)
 
 
+def http_robots(settings: Settings) -> Callable[[DataFrame], DataFrame]:
+    """Fetches /robots.txt of authorities (base_url) over HTTP: base_url, body. Only an answer with status 200 has rules;
+    anything else, time running out included, has none, and all is allowed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies = []
+            for base in batch["base_url"]:
+                try:
+                    request = urllib.request.Request(f"{base}/robots.txt", headers={"User-Agent": settings.user_agent})
+                    with urllib.request.urlopen(request, timeout=ROBOTS_SECONDS) as r:
+                        bodies.append(r.read().decode("utf-8", "replace") if r.status == 200 else None)
+                except Exception:
+                    bodies.append(None)
+            yield pd.DataFrame({"base_url": batch["base_url"], "body": pd.Series(bodies, index=batch.index, dtype=object)})
+
+    return lambda bases: bases.select("base_url").distinct().mapInPandas(run, "base_url string, body string")
+
+
 @dataclass
 class CrawlResult:
-    """``log``: a row per URL taken from the frontier; ``seen``: hashes of all URLs ever enqueued."""
+    """``log``: a row per URL taken from the frontier; ``seen``: hashes of all of those; ``frontier``: URLs that still
+    waited when the pages were enough."""
 
     log: DataFrame
     seen: DataFrame
+    frontier: int = 0
+    seconds: float = 0.0
 
     def stats(self) -> DataFrame:
-        """One row of counters: crawled, failed, skipped, bytes."""
+        """One row of counters: crawled, failed, skipped, bytes, seconds, pages a second."""
         of = lambda s: F.count_if(F.col("status") == s)
-        return self.log.agg(of("crawled").alias("pages_crawled"), of("failed").alias("pages_failed"), of("skipped").alias("pages_skipped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_downloaded"))
+        return self.log.agg(of("crawled").alias("pages_crawled"), of("failed").alias("pages_failed"), of("skipped").alias("pages_skipped"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_downloaded")).withColumns(
+            {"elapsed_seconds": F.lit(round(self.seconds, 3)), "pages_per_second": F.round(F.col("pages_crawled") / max(self.seconds, 1e-3), 3)}
+        )
 
     def documents(self) -> DataFrame:
         """Raw documents of the crawl, in the documents table's columns; doc_id is a hash of the URL."""
@@ -103,25 +129,39 @@ def _keep(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
-def crawl(spark: SparkSession, seeds: list[str], fetch: Callable[[DataFrame], DataFrame], robots: DataFrame | None = None, settings: Settings = Settings(), max_pages: int | None = None, seen: DataFrame | None = None) -> CrawlResult:
+#: An end for robots rules: a table (base_url, body), or a fetch of authorities (base_url) that gives one.
+Robots = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def crawl(spark: SparkSession, seeds: list[str], fetch: Callable[[DataFrame], DataFrame], robots: Robots = None, settings: Settings = Settings(), max_pages: int | None = None, seen: DataFrame | None = None) -> CrawlResult:
     """Fetches breadth first from the seeds, each URL once: depth by depth the frontier is what the last one links to and
     was never seen. Only HTML is kept; depth ``crawl_max_depth`` is fetched but not expanded. At most ``max_pages``
-    pages, in frontier order; URLs that fail or are skipped don't count, so a depth goes on until that many are crawled."""
+    pages, in frontier order; URLs that fail or are skipped don't count, so a depth goes on until that many are crawled.
+    ``robots``: rules by authority, or where to fetch them (each authority once); without, all is allowed."""
+    began = time.monotonic()
     most = settings.crawl_max_pages if max_pages is None else max_pages
-    start = [(u, 0, i) for i, u in enumerate(dict.fromkeys(x for x in map(urls.py_normalise, urls.valid_seeds(seeds)) if x))]
-    frontier = spark.createDataFrame(start, "url string, depth int, seq bigint")
+    start = [(u, (0, i)) for i, u in enumerate(dict.fromkeys(x for x in map(urls.py_normalise, urls.valid_seeds(seeds)) if x))]
+    frontier = spark.createDataFrame(start, "url string, at struct<seq:bigint,i:int>")
     seen = seen if seen is not None else spark.createDataFrame([], "url_hash string")
-    rules = robots if robots is not None else spark.createDataFrame([], "base_url string, body string")
-    log, crawled = spark.createDataFrame([], PAGE), 0
+    rules = robots if isinstance(robots, DataFrame) else spark.createDataFrame([], "base_url string, body string")
+    log, crawled, waiting, number = spark.createDataFrame([], PAGE), 0, 0, 0
     for depth in range(settings.crawl_max_depth + 1):
-        left = _keep(frontier.withColumn("url_hash", urls.url_hash(F.col("url"))).join(seen, "url_hash", "left_anti").dropDuplicates(["url_hash"]))
+        # One row for each hash, the one linked first: URLs that differ in case alone are one page.
+        fresh = frontier.withColumn("url_hash", urls.url_hash(F.col("url"))).join(seen, "url_hash", "left_anti")
+        left = _keep(fresh.groupBy("url_hash").agg(F.min(F.struct("at", "url")).alias("x")).select("url_hash", "x.at", "x.url"))
         level = spark.createDataFrame([], PAGE)
         while crawled < most:
-            named = _keep(left.orderBy("seq").limit(most - crawled))
+            # At most max_pages rows, so their places can be numbered in one task.
+            place = F.row_number().over(Window.orderBy("at")) + F.lit(number).cast("bigint")
+            named = _keep(left.orderBy("at").limit(most - crawled).select("url_hash", "url", F.lit(depth).alias("depth"), place.alias("seq")))
             taken, asked = named.count(), most - crawled
             if not taken:
                 break
+            number += taken
             seen = _keep(seen.union(named.select("url_hash")))
+            if robots is not None and not isinstance(robots, DataFrame):
+                unknown = named.select(urls.base(F.col("url")).alias("base_url")).distinct().join(rules, "base_url", "left_anti")
+                rules = _keep(rules.union(robots(unknown).select("base_url", "body")))
             checked = robots_filter(named.select("url", "depth", "seq"), rules, settings.user_agent)
             got = _keep(fetch(checked.where("allowed")))
             is_html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(False))
@@ -132,16 +172,15 @@ def crawl(spark: SparkSession, seeds: list[str], fetch: Callable[[DataFrame], Da
             part = _keep(x)
             level = level.union(part)
             crawled += part.where("status = 'crawled'").count()
+            left = _keep(left.join(named.select("url_hash"), "url_hash", "left_anti"))
             if taken < asked:
                 break
-            left = _keep(left.join(named.select("url_hash"), "url_hash", "left_anti"))
         log = log.union(level)
-        if depth == settings.crawl_max_depth or crawled >= most:
-            break
-        # Only pages crawled have links, at most max_pages: their places are renumbered, or they outgrow a bigint at depth 3.
-        order = level.where("status = 'crawled'").withColumn("seq", F.row_number().over(Window.orderBy("seq")).cast("bigint"))
-        nexts = order.select("seq", F.posexplode_outer("links").alias("i", "url")).where(F.col("url").isNotNull())
-        frontier = nexts.groupBy("url").agg(F.min(F.struct("seq", "i")).alias("at")).select("url", F.lit(depth + 1).alias("depth"), (F.col("at.seq") * 1_000_000 + F.col("at.i")).alias("seq"))
-        if frontier.isEmpty():
+        waiting = left.count()
+        nexts = level.where("status = 'crawled'").select("seq", F.posexplode_outer("links").alias("i", "url")).where(F.col("url").isNotNull())
+        frontier = nexts.groupBy("url").agg(F.min(F.struct("seq", "i")).alias("at"))
+        if depth == settings.crawl_max_depth or crawled >= most or frontier.isEmpty():
+            if crawled >= most and depth < settings.crawl_max_depth:
+                waiting += frontier.select(urls.url_hash(F.col("url")).alias("url_hash")).distinct().join(seen, "url_hash", "left_anti").count()
             break
-    return CrawlResult(_keep(log), seen)
+    return CrawlResult(_keep(log), seen, waiting, time.monotonic() - began)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Settings
 from siltstone.functions import text as tx
+from siltstone.sources.folder import versions
+
+STATS = "total_docs bigint, total_tokens bigint, avg_doc_length double, shards int, stemmer string"
 
 
 def shard(term: Column, shards: int | None = 4) -> Column:
@@ -75,33 +78,35 @@ class Index:
         return self.postings.where(F.col("shard").isin(*shards) & F.col("term").isin(*terms)) if terms else self.postings.limit(0)
 
 
-def build(docs: DataFrame, settings: Settings = Settings(), compose: bool = False) -> Index:
+def build(docs: DataFrame, settings: Settings = Settings(), compose: bool = True) -> Index:
     """An index in memory of nothing but plans over ``docs`` (doc_id, text)."""
-    stats = corpus_stats(tx.token_counts(docs)).first()
+    stats = corpus_stats(tx.token_counts(docs, compose)).first()
     post = postings(tx.token_rows(docs, settings.stemmer, compose), settings.num_shards)
     return Index(post, term_stats(post), stats["total_docs"], stats["total_tokens"], stats["avg_doc_length"], settings.num_shards, settings.stemmer)
 
 
-def _path(root: str, version: str | None, table: str) -> str:
-    return f"{root}/{version}/{table}"
-
-
-def write(index: Index, root: str, version: str) -> None:
-    """Writes a version beside older ones and then moves the pointer, so readers never see half an index and terms that
-    are gone are gone. Postings are partitioned by shard and sorted by term, so that lookups skip row groups."""
+def write(index: Index, root: str) -> int:
+    """Writes a new version beside older ones and returns its number. The statistics come last and make it count, so
+    readers never see half an index, and terms that are gone are gone. Postings are dealt by ranges of shard, term and
+    document, as many as their size calls for, so a frequent term is no single task's; lookups prune shards and skip files
+    and row groups by term."""
     spark = index.postings.sparkSession
-    index.postings.repartition("shard", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("shard").parquet(_path(root, version, "postings"))
-    stored = spark.read.parquet(_path(root, version, "postings"))
-    term_stats(stored).write.mode("overwrite").parquet(_path(root, version, "term_stats"))
+    version = max(versions(spark, root), default=0) + 1
+    at = f"{root}/v{version}"
+    ranged = index.postings.repartitionByRange("shard", "term", "doc_id").sortWithinPartitions("shard", "term", "doc_id")
+    ranged.write.partitionBy("shard").parquet(f"{at}/postings")
+    stored = spark.read.schema(index.postings.schema).parquet(f"{at}/postings")
+    term_stats(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/term_stats")
     row = [(index.total_docs, index.total_tokens, float(index.avg_doc_length), index.shards, index.stemmer)]
-    spark.createDataFrame(row, "total_docs bigint, total_tokens bigint, avg_doc_length double, shards int, stemmer string").coalesce(1).write.mode("overwrite").parquet(_path(root, version, "stats"))
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    spark.createDataFrame(row, STATS).coalesce(1).write.parquet(f"{at}/stats")
+    return version
 
 
 def read(spark: SparkSession, root: str) -> Index:
-    version = spark.read.parquet(f"{root}/current").first()["version"]
-    stats = spark.read.parquet(_path(root, version, "stats")).first()
-    return Index(
-        spark.read.parquet(_path(root, version, "postings")), spark.read.parquet(_path(root, version, "term_stats")),
-        stats["total_docs"], stats["total_tokens"], stats["avg_doc_length"], stats["shards"], stats["stemmer"],
-    )
+    """The latest version that was written whole."""
+    found = versions(spark, root, "stats/_SUCCESS")
+    if not found:
+        raise FileNotFoundError(f"no index in {root}")
+    at = f"{root}/v{found[-1]}"
+    stats = spark.read.schema(STATS).parquet(f"{at}/stats").first()
+    return Index(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/term_stats"), *stats)

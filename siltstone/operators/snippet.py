@@ -38,15 +38,3 @@ def snippet(text: Column, terms: list[str], longest: int = LONGEST) -> Column:
     shown = F.element_at(F.transform(F.array(F.struct(best.alias("at"), w.alias("w"))), show), 1)  # best is found once
     whole = F.when(F.coalesce(text, F.lit("")) == "", "").when(F.size(w) <= longest // 5, F.substring(text, 1, longest))
     return whole.otherwise(F.substring(shown, 1, longest))
-
-
-def py_snippet(text: str | None, terms: list[str], longest: int = LONGEST) -> str:
-    if not text:
-        return ""
-    w = text.split()
-    if len(w) <= longest // 5:
-        return text[:longest]
-    counts = [sum(t in " ".join(w[i : i + WINDOW]).lower() for t in terms) for i in range(len(w) - WINDOW)]
-    at = max(range(len(counts)), key=lambda i: (counts[i], -i))
-    shown = ("..." if at else "") + " ".join(w[at : at + WINDOW]) + ("..." if at + WINDOW < len(w) else "")
-    return shown[:longest]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from siltstone.operators.snippet import snippet
 from siltstone.plans import sql
 from siltstone.plans.service import hydrate
 from siltstone.sources import store
+from siltstone.sources.folder import shared_dir
 from siltstone.streaming.incremental import raw_documents
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,8 +47,21 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+_STORED: dict[tuple, ix.Index] = {}
+
+
+def _stored_index(spark: SparkSession, key: str, docs: Callable[[], DataFrame], settings: Settings) -> ix.Index:
+    """The index of one corpus, written once a session; searches read that version."""
+    key = (spark.sparkContext.applicationId, key, settings.stemmer, settings.num_shards)
+    if key not in _STORED:
+        root = f"{shared_dir(spark)}/siltstone/index-{uuid.uuid4().hex}"
+        ix.write(ix.build(docs(), settings), root)
+        _STORED[key] = ix.read(spark, root)
+    return _STORED[key]
+
+
 def _index(spark: SparkSession, sf_dir: str, **settings) -> ix.Index:
-    return ix.build(_docs(spark, sf_dir), Settings(**settings))
+    return _stored_index(spark, f"{sf_dir}/documents", lambda: _docs(spark, sf_dir), Settings(**settings))
 
 
 def _matches(spark: SparkSession, sf_dir: str, query: str, **settings) -> DataFrame:
@@ -110,7 +125,7 @@ def shard_sizes(spark, d):
 
 @_query("document_frequency", sql.tokens("SELECT term, df FROM df"))
 def document_frequency(spark, d):
-    return ix.term_stats(ix.postings(tx.token_rows(_docs(spark, d))))
+    return _index(spark, d).term_stats
 
 
 @_query("corpus_stats", sql.tokens("SELECT n AS total_docs, total::BIGINT AS total_tokens, avgdl AS avg_doc_length FROM stats"))
@@ -213,7 +228,7 @@ def _page_text(spark, d) -> DataFrame:
 
 @_query("page_index_search")
 def page_index_search(spark, d):
-    index = ix.build(_page_text(spark, d), compose=True)
+    index = _stored_index(spark, f"{d}/pages", lambda: _page_text(spark, d), Settings())
     return qy.search(index, qy.parse(OR_QUERY)).withColumn("matched_terms", F.array_join("matched_terms", ","))
 
 
@@ -287,7 +302,7 @@ def robots_filter(spark, d):
 _query("porter_search")(_scores(OR_QUERY, stemmer="porter"))
 
 
-@_query("conversation_terms", sql.tokens("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY term").replace("SELECT doc_id, regexp_extract_all(lower(text)", "SELECT conv_id AS doc_id, regexp_extract_all(lower(text)").replace("FROM documents", "FROM conversations"))
+@_query("conversation_terms", sql.tokens("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY term").replace("SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text))", "SELECT conv_id AS doc_id, regexp_extract_all(lower(nfc_normalize(text))").replace("FROM documents", "FROM conversations"))
 def conversation_terms(spark, d):
     rows = tx.token_rows(_table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text"))
     return rows.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))

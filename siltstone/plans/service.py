@@ -5,14 +5,12 @@ from __future__ import annotations
 import hashlib
 import logging
 import time
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Settings
-from siltstone.functions import text as tx
 from siltstone.operators import index as ix
 from siltstone.operators import query as qy
 from siltstone.operators.crawl import CrawlResult, crawl
@@ -88,8 +86,10 @@ class ResultCache:
 
 def hydrate(top: DataFrame, docs: DataFrame, terms: list[str], compat: bool = False) -> DataFrame:
     """A page of matches with url, title (or url) and snippet of the body, from ``docs`` (doc_id, url, title,
-    clean_text). The page is the small side, so of the documents only its rows are read on."""
-    x = F.broadcast(top).join(docs.select("doc_id", "url", "title", "clean_text"), "doc_id", "inner")
+    clean_text); empty where there is no such document. The page is the small side, so of the documents only its rows
+    are read on."""
+    found = docs.select("doc_id", "url", "title", "clean_text").join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")
+    x = top.join(F.broadcast(found), "doc_id", "left")
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url"), F.lit(""))
     body = F.coalesce("title", F.lit("")) if compat else F.coalesce(F.nullif(F.col("clean_text"), F.lit("")), F.col("title"), F.lit(""))
     return x.select("rank", "doc_id", F.coalesce("url", F.lit("")).alias("url"), title.alias("title"), snippet(body, terms).alias("snippet"), "score", "matched_terms")
@@ -105,13 +105,22 @@ class SearchEngine:
         self.last_crawl: CrawlResult | None = None
         self._index: ix.Index | None = None
 
-    def crawl(self, seeds: list[str], fetch, robots: DataFrame | None = None, max_pages: int | None = None, recrawl: bool = True) -> DataFrame:
-        """Crawls, stores and processes; returns the counters. Without ``recrawl`` URLs seen before stay out."""
+    def crawl(self, seeds: list[str], fetch, robots=None, max_pages: int | None = None, recrawl: bool = True) -> DataFrame:
+        """Crawls, stores, processes and records the job; returns the counters. ``robots`` as :func:`crawl` takes it: for a
+        live crawl ``http_robots(settings)``. Without ``recrawl`` URLs seen before stay out."""
         seen = None if recrawl or self.last_crawl is None else self.last_crawl.seen
-        self.last_crawl = crawl(self.spark, seeds, fetch, robots, self.settings, max_pages, seen)
-        self.store.upsert(self.last_crawl.documents(), refresh_html=True)
-        self.process_batch()
-        return self.last_crawl.stats()
+        began, status, pages = time.time(), "failed", 0
+        try:
+            self.last_crawl = crawl(self.spark, seeds, fetch, robots, self.settings, max_pages, seen)
+            stats = self.last_crawl.stats()
+            pages = stats.first()["pages_crawled"]
+            self.store.upsert(self.last_crawl.documents(), refresh_html=True)
+            self.process_batch()
+            status = "completed"
+        finally:
+            self.store.add_job(seeds, began, time.time(), pages, status)
+            log.info("crawl seeds=%d pages=%d status=%s", len(seeds), pages, status)
+        return stats
 
     def add_documents(self, docs: DataFrame) -> None:
         self.store.upsert(docs)
@@ -131,7 +140,7 @@ class SearchEngine:
         stats = ix.corpus_stats(docs.select("token_count")).first()
         post = ix.postings_from_payload(docs, self.settings.num_shards)
         built = ix.Index(post, ix.term_stats(post), stats["total_docs"], stats["total_tokens"], stats["avg_doc_length"], self.settings.num_shards, self.settings.stemmer)
-        ix.write(built, f"{self.root}/index", uuid.uuid4().hex)
+        ix.write(built, f"{self.root}/index")
         self._index = None
         self.cache.clear()
         return self.index
@@ -149,7 +158,7 @@ class SearchEngine:
         compat = self.settings.compat
         page, size = max(1, page), max(1, min(page_size, self.settings.page_size if compat else self.settings.max_page_size))
         parsed = qy.parse(query, self.settings.stemmer)
-        key = ResultCache.key(parsed, page, size)
+        key = ResultCache.compat_key(query, page, size) if compat else ResultCache.key(parsed, page, size)
         ms = lambda: round((time.perf_counter() - began) * 1000, 2)
         if use_cache and (held := self.cache.get(key)):
             return SearchResponse(query, held.results, held.total_found, page, size, held.total_pages, ms(), True)
@@ -182,7 +191,7 @@ class SearchEngine:
         i = self.index
         return c.select(
             F.col("total").alias("total_documents"), F.col("processed").alias("processed_documents"), F.lit(i.term_stats.count()).alias("indexed_terms"), F.lit(round(i.avg_doc_length, 2)).alias("avg_doc_length"),
-            F.lit(0).alias("frontier_size"), F.lit(seen).alias("seen_urls"), F.lit(i.shards).alias("num_shards"), F.lit(i.total_docs).alias("total_docs_indexed"),
+            F.lit(self.last_crawl.frontier if self.last_crawl else 0).alias("frontier_size"), F.lit(seen).alias("seen_urls"), F.lit(i.shards).alias("num_shards"), F.lit(i.total_docs).alias("total_docs_indexed"),
         )
 
     def admin_stats(self) -> dict:
@@ -192,7 +201,3 @@ class SearchEngine:
             "index": {"shards": i.shards, "unique_terms": i.term_stats.count(), "avg_doc_length": round(i.avg_doc_length, 2)},
             "ranking": {"algorithm": "BM25", "k1": self.settings.k1, "b": self.settings.b},
         }
-
-
-def terms_of(text: str, stemmer: str = "suffix") -> list[str]:
-    return tx.py_terms(text, stemmer)

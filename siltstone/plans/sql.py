@@ -7,7 +7,7 @@ from siltstone.functions.text import STOP_WORDS, SUFFIXES
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _STEM = "CASE " + " ".join(f"WHEN suffix(x, '{s}') AND length(x) - {len(s)} > 2 THEN left(x, length(x) - {len(s)})" for s in SUFFIXES) + " ELSE x END"
 
-TOKENS = rf"""raw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[''\-][a-z0-9]+)*') AS w FROM documents),
+TOKENS = rf"""raw AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[a-z0-9]+(?:[''\-][a-z0-9]+)*') AS w FROM documents),
 kept AS (SELECT doc_id, len(w) AS doc_len, list_filter(w, lambda x: length(x) BETWEEN 2 AND 64 AND NOT list_contains({_STOP}, x)) AS k FROM raw),
 each AS (SELECT doc_id, doc_len, i - 1 AS position, k[i] AS x FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM kept)),
 tok AS (SELECT doc_id, doc_len, position, {_STEM} AS term FROM each),

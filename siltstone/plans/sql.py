@@ -63,3 +63,31 @@ def collapsed(x: str) -> str:
 PAGE_FIELDS = f"""f AS (SELECT page_id, url, trim({unescaped("regexp_extract(html, '<title>(.*?)</title>', 1)")}) AS title, lower(left(regexp_extract(html, '<html lang="([^"]*)"', 1), 2)) AS language,
   {collapsed(unescaped("regexp_extract(html, '<h1>(.*?)</h1>', 1)"))} AS headings,
   {collapsed(unescaped("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<h1>.*?</h1>', ' '), '<[^>]*>', ' ', 'g')"))} AS body_text FROM pages)"""
+
+
+def on_pages(query: str) -> str:
+    """A query on ``documents`` as one on the full text of all pages that have any."""
+    return query.replace("WITH ", f"WITH {PAGE_FIELDS},\ndocuments AS (SELECT page_id AS doc_id, {FULL_TEXT} AS text FROM f WHERE body_text <> ''),\n", 1)
+
+
+FULL_TEXT = collapsed("concat_ws(' ', title, title, title, headings, body_text)")
+#: Normalised URLs of pages and the first page of each.
+PAGE_URLS = r"u AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '\?$', ''), '/+$', '') AS link, * FROM pages)"
+#: Links of a page: all start with a slash.
+LINKS = r"""list_distinct(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*') || h, '/+$', '')))"""
+PROCESSED = tokens("""SELECT sha256(p.link) AS doc_id, p.link AS url, p.title, p.body_text AS clean_text, any_value(c.doc_len)::INT AS token_count, lower(regexp_extract(p.link, '^[a-z]+://([^/?#]*)', 1)) AS domain, 'processed' AS status,
+       count(post.term)::INT AS unique_terms, '[' || string_agg('{"term":"' || post.term || '","tf":' || tf || ',"positions":[' || array_to_string(positions, ',') || ']}', ',' ORDER BY positions[1]) || ']' AS tokens
+FROM p JOIN kept c ON c.doc_id = p.page_id LEFT JOIN post ON post.doc_id = p.page_id GROUP BY ALL""").replace(
+    "WITH ", f"""WITH {PAGE_FIELDS}, {PAGE_URLS},
+p AS (SELECT f.*, u.link FROM u JOIN f USING (page_id) WHERE page_id = (SELECT min(page_id) FROM u AS v WHERE v.link = u.link) AND body_text <> ''),
+documents AS (SELECT page_id AS doc_id, {FULL_TEXT} AS text FROM p),
+""", 1
+)
+#: The first two levels of a crawl from the first twenty pages, where no link leads to another page.
+CRAWLED = f"""WITH {PAGE_URLS}, {PAGE_FIELDS},
+s AS (SELECT DISTINCT ON (lower(link)) * FROM (SELECT * FROM u ORDER BY page_id LIMIT 20) ORDER BY page_id),
+w AS (SELECT s.page_id AS ord, s.link, f.title, {LINKS.removeprefix("list_distinct").replace("html", "first.html").replace("(url,", "(s.link,")} AS links
+      FROM s JOIN u AS first ON first.link = s.link AND first.page_id = (SELECT min(page_id) FROM u AS v WHERE v.link = s.link) JOIN f ON f.page_id = first.page_id),
+l AS (SELECT DISTINCT ON (lower(link)) link FROM (SELECT ord, unnest(range(len(links))) AS i, unnest(links) AS link FROM w) ORDER BY ord, i)
+SELECT link AS url, 0 AS depth, 'crawled' AS status, title, len(list_distinct(links))::INT AS links FROM w
+UNION ALL SELECT link, 1, 'failed', NULL, NULL FROM l WHERE lower(link) NOT IN (SELECT lower(link) FROM s)"""

@@ -272,3 +272,13 @@ def test_composed_terms(spark):
     docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
     index = ix.build(docs)
     assert found(index, "caf\u00e9") == {"d"} and tx.token_counts(docs).first()["token_count"] == len(tx.py_raw_tokens(text)) == 2
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from siltstone.sources.folder import shared_dir
+
+    cluster = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=cluster, conf=SimpleNamespace(get=lambda *_: None)))

@@ -23,16 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import crc_fold, stage
-from siltstone.llm.textkit import U, Words, chunks, mix, words
+from siltstone.llm.textkit import U, Words, chunks, mix, tidy, words
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: Tokens of a chunk, about; a longer text is a chunk of its own.
 TOKENS = 1 << 21
-#: Buckets of words and of pairs. A task holds one of them, what all chunks have in it.
-WORD_BUCKETS, PAIR_BUCKETS = 256, 1024
+#: Words or pairs that a bucket has about, counted a chunk each. A task holds one bucket, what all chunks have in it, so the
+#: number of buckets grows with the input.
+ENTRIES = 1 << 19
+_ZSTD = pa.Codec("zstd", compression_level=5)
 #: Cells of EM an octave of an estimate.
 STEPS = 4
-END = U(0x5EED0FE4D0C50001)
+#: Words and pairs are told apart by the upper 56 bits of their hashes.
+_KEPT = ~U(0xFF)
+END = U(0x5EED0FE4D0C50000)
 CHUNK = "chunk bigint, doc_id array<bigint>, held_out array<boolean>, deleted array<boolean>, lengths array<int>, n_train bigint, n_deleted bigint, n_words int, words binary, seen binary, ids binary"
 SENT = "bucket int, chunk bigint, size int, keys binary, counts binary"
 TOTALS = "bucket int, chunk bigint, size int, kinds bigint, counts binary"
@@ -58,7 +62,7 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     out, of = np.empty(n + d, U), np.empty(n + d, np.int64)
     at = np.arange(n) + doc
     ends = w.first[1:] + np.arange(d)
-    out[at], out[ends] = w.hashes, END
+    out[at], out[ends] = w.hashes & _KEPT, END
     of[at], of[ends] = doc, np.arange(d)
     return out, of
 
@@ -66,21 +70,21 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def _pack(x: np.ndarray, plain: int = 0) -> bytes:
     """Integers from 0 by planes of bytes, compressed but for the ``plain`` lowest."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
-    return planes[:plain].tobytes() + pa.Codec("zstd").compress(planes[plain:].tobytes(), asbytes=True)
+    return planes[:plain].tobytes() + _ZSTD.compress(planes[plain:].tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes, n: int, plain: int = 0, kind=np.int64) -> np.ndarray:
-    rest = pa.Codec("zstd").decompress(data[plain * n :], (8 - plain) * n, asbytes=True)
+    rest = _ZSTD.decompress(data[plain * n :], (8 - plain) * n, asbytes=True)
     return np.ascontiguousarray(np.frombuffer(data[: plain * n] + rest, np.uint8).reshape(8, n).T).view(kind).reshape(n)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending hashes, as differences."""
-    return _pack(np.diff(keys, prepend=U(0)), 5)
+    """Ascending hashes, as differences of what is kept of them."""
+    return _pack(np.diff(keys >> U(8), prepend=U(0)), 4)
 
 
 def _unpack_keys(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(_unpack(data, n, 5, U), dtype=U)
+    return np.cumsum(_unpack(data, n, 4, U), dtype=U) << U(8)
 
 
 def _pack_counts(n: np.ndarray, d: np.ndarray) -> bytes:
@@ -99,9 +103,10 @@ def _unpack_counts(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs(h: np.ndarray) -> np.ndarray:
     """A hash of each token of a chunk and the one before it; a text's first follows an end."""
-    return mix(np.roll(h, 1) * U(0x9E3779B97F4A7C15) + h)
+    return mix(np.roll(h, 1) * U(0x9E3779B97F4A7C15) + h) & _KEPT
 
 
+@tidy
 def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     held: list[tuple[np.ndarray, np.ndarray, list, list, list]] = []
@@ -143,30 +148,44 @@ class Chunk:
         self.train = np.repeat(~np.array(row["held_out"], bool), self.lengths)
 
 
-def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = Chunk(row)
-            for keys, at, buckets, first in ((c.words, c.word_at, WORD_BUCKETS, 0), (c.pairs, c.pair_at, PAIR_BUCKETS, WORD_BUCKETS)):
-                n, d = (np.bincount(at[x], minlength=len(keys)).astype(np.int64) for x in (c.train, c.deleted))
-                edge = np.searchsorted(keys >> U(65 - buckets.bit_length()), np.arange(buckets + 1).astype(U))
-                cuts = [(i, a, b) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if a < b]
-                yield _batch(SENT, [
-                    [first + i for i, _, _ in cuts], [row["chunk"]] * len(cuts), [b - a for _, a, b in cuts],
-                    [_pack_keys(keys[a:b]) for _, a, b in cuts], [_pack_counts(n[a:b], d[a:b]) for _, a, b in cuts],
-                ])
-
-
-def _total(sent: pa.Table) -> pa.Table:
+def buckets_for(entries: int) -> int:
+    """A power of two, 16 at least."""
+    return max(16, 1 << max(0, (entries - 1) // ENTRIES).bit_length())
+
+
+def _send(word_buckets: int, pair_buckets: int):
+    """Words go to the buckets from 0, pairs to those after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row)
+                for keys, at, buckets, first in ((c.words, c.word_at, word_buckets, 0), (c.pairs, c.pair_at, pair_buckets, word_buckets)):
+                    n, d = (np.bincount(at[x], minlength=len(keys)).astype(np.int64) for x in (c.train, c.deleted))
+                    edge = np.searchsorted(keys >> U(65 - buckets.bit_length()), np.arange(buckets + 1).astype(U))
+                    cuts = [(i, a, b) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if a < b]
+                    yield _batch(SENT, [
+                        [first + i for i, _, _ in cuts], [row["chunk"]] * len(cuts), [b - a for _, a, b in cuts],
+                        [_pack_keys(keys[a:b]) for _, a, b in cuts], [_pack_counts(n[a:b], d[a:b]) for _, a, b in cuts],
+                    ])
+
+    return tidy(run)
+
+
+def _total(word_buckets: int):
     """Answers of a bucket to all chunks; its number of different trained words goes with the first."""
-    rows = sent.to_pydict()
-    sizes = rows["size"]
-    keys, at = np.unique(np.concatenate([_unpack_keys(x, s) for x, s in zip(rows["keys"], sizes)]), return_inverse=True)
-    n, d = (np.bincount(at, np.concatenate(x), len(keys)).astype(np.int64) for x in zip(*map(_unpack_counts, rows["counts"], sizes)))
-    bucket = rows["bucket"][0]
-    kinds = [int((n > 0).sum()) if bucket < WORD_BUCKETS else 0, *[0] * (len(sizes) - 1)]
-    places = np.split(at, np.cumsum(sizes)[:-1])
-    return pa.Table.from_batches([_batch(TOTALS, [rows["bucket"], rows["chunk"], sizes, kinds, [_pack_counts(n[p], d[p]) for p in places]])])
+
+    def run(sent: pa.Table) -> pa.Table:
+        rows = sent.to_pydict()
+        sizes = rows["size"]
+        keys, at = np.unique(np.concatenate([_unpack_keys(x, s) for x, s in zip(rows["keys"], sizes)]), return_inverse=True)
+        n, d = (np.bincount(at, np.concatenate(x), len(keys)).astype(np.int64) for x in zip(*map(_unpack_counts, rows["counts"], sizes)))
+        bucket = rows["bucket"][0]
+        kinds = [int((n > 0).sum()) if bucket < word_buckets else 0, *[0] * (len(sizes) - 1)]
+        places = np.split(at, np.cumsum(sizes)[:-1])
+        return pa.Table.from_batches([_batch(TOTALS, [rows["bucket"], rows["chunk"], sizes, kinds, [_pack_counts(n[p], d[p]) for p in places]])])
+
+    return run
 
 
 def octave(n: np.ndarray) -> np.ndarray:
@@ -184,22 +203,26 @@ def _cells(pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> list[np.n
     return [codes, np.bincount(at, minlength=len(codes)), np.bincount(at, x, len(codes)), np.bincount(at, y, len(codes))]
 
 
-def _resolve(totals: pa.Table, own: pa.Table) -> pa.Table:
+def _resolve(word_buckets: int):
     """Counts of each token of a chunk and of its pair, and the cells of its deleted tokens."""
-    (row,) = own.to_pylist()
-    c = Chunk(row)
-    sent = sorted(totals.to_pylist(), key=lambda x: x["bucket"])
-    counts = []
-    for side, keys in ((False, c.words), (True, c.pairs)):
-        mine = [x for x in sent if (x["bucket"] >= WORD_BUCKETS) == side]
-        n, d = map(np.concatenate, zip(*(_unpack_counts(x["counts"], x["size"]) for x in mine)))
-        if len(n) != len(keys):
-            raise ValueError("answers don't match the chunk")
-        counts += [n, d]
-    word, word_d, pair, pair_d = counts[0][c.word_at], counts[1][c.word_at], counts[2][c.pair_at], counts[3][c.pair_at]
-    kept = word - word_d
-    cells = _cells((pair - pair_d)[c.deleted], np.roll(kept, 1)[c.deleted], kept[c.deleted])
-    return pa.Table.from_batches([_batch(RESOLVED, [[x] for x in (row["doc_id"], row["held_out"], row["lengths"], sum(x["kinds"] for x in sent), _pack(word), _pack(pair), *cells)])])
+
+    def run(totals: pa.Table, own: pa.Table) -> pa.Table:
+        (row,) = own.to_pylist()
+        c = Chunk(row)
+        sent = sorted(totals.to_pylist(), key=lambda x: x["bucket"])
+        counts = []
+        for side, keys in ((False, c.words), (True, c.pairs)):
+            mine = [x for x in sent if (x["bucket"] >= word_buckets) == side]
+            n, d = map(np.concatenate, zip(*(_unpack_counts(x["counts"], x["size"]) for x in mine)))
+            if len(n) != len(keys):
+                raise ValueError("answers don't match the chunk")
+            counts += [n, d]
+        word, word_d, pair, pair_d = counts[0][c.word_at], counts[1][c.word_at], counts[2][c.pair_at], counts[3][c.pair_at]
+        kept = word - word_d
+        cells = _cells((pair - pair_d)[c.deleted], np.roll(kept, 1)[c.deleted], kept[c.deleted])
+        return pa.Table.from_batches([_batch(RESOLVED, [[x] for x in (row["doc_id"], row["held_out"], row["lengths"], sum(x["kinds"] for x in sent), _pack(word), _pack(pair), *cells)])])
+
+    return run
 
 
 def fit_weights(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -270,7 +293,7 @@ def _score(weights: np.ndarray, tokens: int, kinds: int):
                 base = np.bincount(of, np.log10(word + 1.0), docs) - lengths * math.log10(tokens + kinds + 1)
                 yield _batch(SCORED, [row["doc_id"], row["held_out"], lengths, np.bincount(of[word > 0], minlength=docs), np.full(docs, tokens), base, np.bincount(of, np.log10(model), docs)])
 
-    return run
+    return tidy(run)
 
 
 def score_documents(docs: DataFrame, training: str = "training", top: int | None = None) -> DataFrame:
@@ -282,9 +305,11 @@ def score_documents(docs: DataFrame, training: str = "training", top: int | None
     held_out = ~F.col(training)
     deleted = F.col(training) & (crc_fold("doc_id", FOLDS) == DELETED)
     own = stage(docs.select(F.col("doc_id").cast("bigint"), "text", held_out.alias("held_out"), deleted.alias("deleted")).mapInArrow(_make_chunks, CHUNK), "lm-chunks")
-    tokens, gone = own.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_deleted"), F.lit(0))).first()
-    totals = own.mapInArrow(_send, SENT).groupBy("bucket").applyInArrow(_total, TOTALS)
-    resolved = stage(totals.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_resolve, RESOLVED), "lm-resolved")
+    length = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    tokens, gone, kinds, every = own.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_deleted", "n_words", length))).first()
+    words_in, pairs_in = buckets_for(kinds), buckets_for(every)
+    totals = own.mapInArrow(_send(words_in, pairs_in), SENT).groupBy("bucket").applyInArrow(_total(words_in), TOTALS)
+    resolved = stage(totals.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_resolve(words_in), RESOLVED), "lm-resolved")
     kinds = resolved.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     weights = fit(resolved, tokens - gone, kinds) if tokens else np.tile([0.0, 0.0, 1.0], (64, 1))
     return resolved.select("doc_id", "held_out", "lengths", "words", "pairs").mapInArrow(_score(weights, tokens, kinds), SCORED)

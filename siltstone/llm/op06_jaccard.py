@@ -10,6 +10,7 @@ a family of any size takes bounded memory and sends each row once per block, and
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import apart, small, stage
 from siltstone.llm.components import components
-from siltstone.llm.textkit import U, chunks, mix, powers, windows, words
+from siltstone.llm.textkit import U, chunks, mix, powers, tidy, windows, words
 
 SHINGLE, PERCENT = 3, 90
 #: Rows of one column that are paired with one another.
@@ -75,7 +76,7 @@ def _features(k: int):
                 columns = [*keys, pa.array(c, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(at, lists[0]), pa.array(rows, lists[1])]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return run
+    return tidy(run)
 
 
 def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -135,7 +136,7 @@ def _postings(k: int, percent: int, frequent):
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "c", "last"])
 
-    return run
+    return tidy(run)
 
 
 PAIRS = "a bigint, b bigint, na int, nb int, la bigint, lb bigint, tie boolean"
@@ -205,7 +206,7 @@ def _pairs(percent: int, most: int):
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return run
+    return tidy(run)
 
 
 def candidates(postings: DataFrame, percent: int, run_rows: int = RUN) -> DataFrame:
@@ -234,7 +235,7 @@ def _sets(k: int):
                 columns = [batch.column(x).slice(a, b - a) for x in names[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=names)
 
-    return run
+    return tidy(run)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -312,7 +313,7 @@ def _decide(percent: int):
         if out:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -381,4 +382,17 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k1", "k2", "root")
 
 
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 2), ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS cut FROM s AS a JOIN s AS b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT u, v FROM p JOIN n AS a ON a.r = u JOIN n AS b ON b.r = v WHERE 100 * cut >= 90 * (a.n + b.n - cut)),
+c AS (SELECT r AS node, r AS reach FROM n UNION SELECT c.node, l.v FROM c JOIN l ON c.reach = l.u),
+m AS (SELECT node, min(doc_id) AS component FROM c JOIN d ON d.r = c.reach GROUP BY node),
+k AS (SELECT u, count(*) AS links FROM l GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(k.links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (r) LEFT JOIN m ON m.node = d.r LEFT JOIN k ON k.u = d.r"""
+
 QUERIES = {"op6_jaccard": op6_jaccard}
+ORACLES = {"op6_jaccard": ORACLE}

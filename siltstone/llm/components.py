@@ -11,7 +11,8 @@ from siltstone.llm.common import stage
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (u, v bigint) to staged rows (node, root), root the least node that can be reached; every node of an
     edge but roots has a row. Each round is a few shuffles of the edges that are left and is staged, so an executor's
-    loss costs one round; nothing of the graph comes to the driver."""
+    loss costs one round; nothing of the graph comes to the driver. Edges with a null or from a node to itself link nothing,
+    repeated ones count once, no edges give no rows."""
     x = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import apart, crc_fold
-from siltstone.llm.textkit import chunks
+from siltstone.llm.textkit import chunks, tidy
 
 #: Hashed n-grams of up to GRAMS characters; a space stands for any run of other characters.
 BITS, GRAMS = 15, 3
@@ -62,6 +62,7 @@ def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, counts[at]
 
 
+@tidy
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, rows = np.zeros(DIMS + 1, np.int64), 0
     for batch in batches:
@@ -75,6 +76,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["gram", "df"])
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
@@ -169,10 +171,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(langs, np.log((1 + dense[DIMS]) / (1 + dense[:DIMS])) + 1)
     if not langs:
         return model
-    share = F.lit(0.0)
-    for c in count:
-        share = F.when(F.col("lang") == c["lang"], min(1.0, sample / c["n"])).otherwise(share)
-    chosen = rows.withColumn("r", r).where((F.shiftrightunsigned("r", 11) / F.lit(float(1 << 53))) < share).dropDuplicates(["r"])
+    share = docs.sparkSession.createDataFrame([(c["lang"], min(1.0, sample / c["n"])) for c in count], "lang string, share double")
+    chosen = rows.withColumn("r", r).join(F.broadcast(share), "lang").where((F.shiftrightunsigned("r", 11) / F.lit(float(1 << 53))) < F.col("share")).dropDuplicates(["r"])
     got = chosen.select("text", "lang", "r").mapInArrow(_features, "lang string, r bigint, grams array<int>, counts array<int>").toArrow().to_pylist()
     got.sort(key=lambda x: x["r"])
     number = {x: i for i, x in enumerate(langs)}
@@ -190,7 +190,7 @@ def _predict(model):
                 new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,7 +211,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letter, or a score below ``least``."""
+    """``docs`` without the rows whose language can't be told: null or empty text, no letter, or a score below ``least``. All
+    columns stay, also extra ones whose names clash with those here; repeated rows stay or go together; a null lang teaches
+    nothing and is no reason to go; without any labelled row all go. No rows: no rows."""
     model = train(docs.where(crc_fold("doc_id", FOLDS) != HELD_OUT), sample)
     x, back = apart(docs, "text")
     return back(predict(x, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))

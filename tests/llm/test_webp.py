@@ -218,3 +218,46 @@ def test_errors():
             webp.decode(bad)
     with pytest.raises(ValueError):
         webp.encode(b"x")
+
+
+def test_round_trips():
+    """What the encoder writes reads back, whichever transform, code or reference it chose."""
+    rng = np.random.default_rng(8)
+    prose = b" ".join(rng.choice([b"the", b"of", b"house", b"and", b"Wasser", b"maison."], 3000).tolist())
+    kinds = [
+        b"\0", b"a", b"ab" * 40, b"abc" * 900, bytes(range(17)) * 9, bytes(range(256)) * 3, bytes(i * 3 % 256 for i in range(9000)), rng.integers(0, 256, 5000, np.uint8).tobytes(), rng.integers(0, 4, 5000, np.uint8).tobytes(),
+        prose, prose * 40, b"x" * 200_000, np.minimum(rng.geometric(0.02, 70_000), 255).astype(np.uint8).tobytes(), bytes(range(200)) + b"q" * 10_000,
+    ]
+    for data_ in kinds:
+        padded = data_ + b"\0" * (-len(data_) % webp.SAMPLES)
+        coded = webp.encode(padded)
+        assert webp.samples(coded) == padded
+    assert len(webp.encode((prose * 2)[:16_000])) < 8_000
+    whole = b"".join(webp.encode(bytes([i]) * 64) for i in range(5))
+    assert webp.samples(whole) == b"".join(bytes([i]) * 64 for i in range(5))
+    cut = webp.encode((prose)[:6400])
+    for n in (40, 200, len(cut) - 3):
+        with pytest.raises(ValueError):
+            webp.samples(cut[:n])
+
+
+def test_transforms_are_chosen():
+    kinds = lambda d: {k for k in (webp.PREDICTOR, webp.PALETTE) if _uses(webp.encode(d), k)}
+
+    def _uses(d, kind):
+        bits = webp.Bits(d[20:])
+        bits.read(40)
+        return bool(bits.read(1)) and bits.read(2) == kind
+
+    ramp = bytes(i % 256 for i in range(6400))
+    assert kinds(b"abc" * 64) == {webp.PALETTE} and kinds(ramp) == {webp.PREDICTOR} and kinds((b"The quick brown fox jumps over 13 dogs. " * 8)) == set()
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(3)
+    for most in (9, 12):
+        for n in (1, 2, 3, 19, 280):
+            counts = rng.geometric(0.001, n) * (rng.random(n) < 0.8) * (1 << rng.integers(0, 30, n))
+            sizes = webp.code_lengths(counts, most)
+            used = sizes[sizes > 0]
+            assert ((sizes > 0) == (counts > 0)).all() and sizes.max(initial=0) <= most and (len(used) < 2 or sum(2.0 ** -used) == 1)

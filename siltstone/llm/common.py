@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, BinaryType, NullType, StringType
 
+from siltstone.sources.folder import shared_dir
+
 #: Rows and bytes that a side may have to be broadcast. Beyond either the plan shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
@@ -17,21 +19,6 @@ BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset and the
-    session is local, as in tests, a temporary folder of this machine. A cluster without the setting is an error: its
-    machines would each write to a disk of their own."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
@@ -48,6 +35,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, what runs exchanges at most so many rows at once with Python: texts are large, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has been counted to have at most ``rows`` rows of at most ``size`` bytes; otherwise
     as it is, and the join shuffles. Call it on a staged table: counting then reads Parquet footers, and columns of

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import new_folder, stage
-from siltstone.llm.textkit import chunks
+from siltstone.llm.common import batches_of, new_folder, stage
+from siltstone.llm.textkit import chunks, tidy, trim
 
 LENGTH = 2048
 BATCH = 64
@@ -48,7 +48,7 @@ _BYTES = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIB
 #: Words of letters below this are one pre-token and go to the model directly.
 _LATIN = "\u0250"
 #: Bytes of text encoded at once.
-CODED = 8 << 20
+CODED = 2 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -231,6 +231,7 @@ def _write(folder: str, path: str, end_id: int, length: int, batch_size: int):
                 packer.add(np.insert(ids, np.cumsum(sizes), end_id))
                 writer.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(start), pa.array(sizes + 1)], schema=INDEX))
                 documents += b - a
+                trim()
         if packer is not None:
             packer.close()
             writer.close()
@@ -239,7 +240,7 @@ def _write(folder: str, path: str, end_id: int, length: int, batch_size: int):
             row = [(TaskContext.get().partitionId(),), (name,), (documents,), (packer.tokens,)]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "docs", "tokens"])
 
-    return run
+    return tidy(run)
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None = None, end_id: int = END_ID, length: int = LENGTH, batch: int = BATCH) -> DataFrame:
@@ -251,7 +252,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     rows: no file."""
     folder = folder or new_folder(docs.sparkSession, "tokens")
     x = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    manifest = stage(x.mapInArrow(_write(folder, path or tokenizer_path(), end_id, length, batch), MANIFEST), "token-manifest")
+    with batches_of(docs.sparkSession, 2000):
+        manifest = stage(x.mapInArrow(_write(folder, path or tokenizer_path(), end_id, length, batch), MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return stage(manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("bigint")), "token-files")
 
@@ -280,6 +282,7 @@ class TokenFile:
         return got.column(0).flatten().to_numpy()[at], got.column(1).flatten().to_numpy(zero_copy_only=False)[at]
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import new_folder, small, stage
+from siltstone.llm.textkit import tidy
 
 INDEX = "page_id bigint, url string, digest string, record_type string, file string, offset bigint, length bigint"
 READ = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -82,7 +83,7 @@ def _write(folder: str, date: str, level: int):
         if out is not None:
             out.close()
 
-    return run
+    return tidy(run)
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> DataFrame:
@@ -102,6 +103,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, date: str = "2024-01
     return stage(x.mapInArrow(_write(folder, date, level), INDEX), "warc-index")
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]

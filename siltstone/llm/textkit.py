@@ -7,8 +7,10 @@ taken block by block, so that a very long text needs no tables of its length, ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """Wraps an Arrow function: when a task of it ends, freed memory goes back to the system. Spark keeps Python workers
+    for later stages, and what their allocators hold on to adds up beside the next stage's own."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 @dataclass
 class Words:
     """Words of several texts. ``first[d]:first[d + 1]`` are the words of text d; starts and ends are in ``buffer``."""

@@ -32,9 +32,31 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for held in _recording:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded(held: list[str]) -> Iterator[None]:
+    """Within, folders that :func:`stage` writes are noted in ``held``."""
+    _recording.append(held)
+    try:
+        yield
+    finally:
+        _recording[:] = [x for x in _recording if x is not held]
+
+
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Deletes the folders noted, which nothing must read any more."""
+    while held:
+        path = spark._jvm.org.apache.hadoop.fs.Path(held.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within, what runs exchanges at most so many rows at once with Python: texts are large, and both sides hold a batch."""

@@ -1,8 +1,9 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 A text's set is a row of the document by shingle matrix. Rows that are equal are one class. First the product is taken
-over few columns only: of each row the first columns in one global order (columns known to be frequent last, the rest by
-hash), as many as two rows that link must share one of. Overlaps over these columns are added up by pair, and pairs are
+over few columns only: of each row the first columns in one global order (columns known to be frequent last, by grades, the
+rest by hash), as many as two rows that link must share one of. What is frequent is learned twice, from a fixed share of the
+texts and then from exact counts of the first columns, so that the pairs a row is in stay as many when the table grows. Overlaps over these columns are added up by pair, and pairs are
 discarded whose overlap can't reach what their sizes call for. Columns that more than RUN rows still have add no pairs;
 they tie their rows together. What is left falls into families; each family's full rows are multiplied block by block, so
 a family of any size takes bounded memory and sends each row once per block, and every pair in it is decided exactly.
@@ -18,19 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import apart, small, stage
+from siltstone.llm.common import apart, batches_of, small, stage
 from siltstone.llm.components import components
 from siltstone.llm.textkit import U, chunks, mix, powers, tidy, windows, words
 
 SHINGLE, PERCENT = 3, 90
 #: Rows of one column that are paired with one another.
 RUN = 512
-#: A column of so many rows is frequent. Batches of COUNTED bytes of text report columns of at least LOCAL rows; at most
-#: FREQUENT columns are broadcast. The order of columns changes the work, never the result.
-COMMON, COUNTED, LOCAL, FREQUENT = 128, 8 << 20, 3, 1 << 18
+#: Frequent are columns that SEEN texts of one in SAMPLED have, and then those that are among the first of COMMON rows; at most
+#: FREQUENT of each are broadcast. From GRADES rows on they come later still. The order changes the work, never the result.
+SAMPLED, SEEN, COMMON, FREQUENT, GRADES = 16, 3, 16, 1 << 20, (512, 8192)
+#: Rows exchanged at once with Python.
+BATCH_ROWS = 2000
 #: Rows and entries of a block of the full product.
 BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 1024, 1 << 21, 4096
-_MASK, _LATE = U((1 << 62) - 1), U(1 << 62)
+_MASK, _TOP = U((1 << 62) - 1), U(1 << 63)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -55,45 +58,49 @@ def _class(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=U) + U(len(s))], U)).view(np.int64)[0])
 
 
-FEATURES = "k1 bigint, k2 bigint, doc_id bigint, th bigint, c bigint, n int, columns array<bigint>, rows array<int>"
+FEATURES = "k1 bigint, k2 bigint, doc_id bigint, th bigint, c bigint, n int"
 
 
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = pa.list_(pa.int64()), pa.list_(pa.int32())
         for batch in batches:
-            for a, b, texts in chunks(batch, size=COUNTED):
-                sets = []
-                for x, y, part in _parts(texts):
-                    sets += shingle_sets(part, k)
-                c = [_class(s) for s in sets]
+            for a, b, texts in chunks(batch):
+                sets = shingle_sets(texts, k)
                 keys = [batch.column(x).slice(a, b - a) for x in ("k1", "k2", "doc_id", "th")]
-                first = list({x: i for i, x in reversed(list(enumerate(c)))}.values())
-                shingles, count = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
-                many = count >= LOCAL
-                at = [shingles[many].view(np.int64)] + [None] * (b - a - 1)
-                rows = [count[many].astype(np.int32)] + [None] * (b - a - 1)
-                columns = [*keys, pa.array(c, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(at, lists[0]), pa.array(rows, lists[1])]
+                columns = [*keys, pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FEATURES.split(", ")])
 
     return tidy(run)
 
 
-def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    a = 0
-    while a < len(texts):
-        b, total = a, 0
-        while b < len(texts) and (b == a or total < size):
-            total += len(texts[b])
-            b += 1
-        yield a, b, texts[a:b]
-        a = b
+COUNTS = "mark int, rows int"
+
+
+def _marks(s: np.ndarray) -> np.ndarray:
+    """32 bits of each column, by which frequent ones are listed; a column taken for another is only ordered otherwise."""
+    return (s >> U(30)).astype(np.uint32)
+
 
+def _counts(k: int, percent: int | None = None, frequent=None):
+    """Marks of the texts' columns, or of the first ones by ``frequent``, and how many rows of a chunk have them."""
 
-def frequent_columns(features: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most FREQUENT columns of COMMON rows or more, the most frequent ones."""
-    each = features.where(F.col("columns").isNotNull()).select(F.explode(F.arrays_zip("columns", "rows")).alias("x")).select("x.columns", "x.rows")
-    counts = stage(each.groupBy("columns").agg(F.sum("rows").alias("n")).where(F.col("n") >= COMMON), "jaccard-columns")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in chunks(batch):
+                sets = list({_class(s): s for s in shingle_sets(texts, k) if len(s)}.values())
+                if percent is not None:
+                    sets = [_first(s, percent, frequent.value) & _MASK for s in sets]
+                if sets:
+                    mark, rows = np.unique(_marks(np.concatenate(sets)), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int32)), pa.array(rows.astype(np.int32))], names=["mark", "rows"])
+
+    return tidy(run)
+
+
+def listed(counts: DataFrame, least: int, share: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted marks of at most FREQUENT columns of ``least`` rows or more, the most frequent ones, and their grades if one row
+    stands for ``share``."""
+    counts = stage(counts.groupBy("mark").agg(F.sum("rows").alias("n")).where(F.col("n") >= least), "jaccard-columns")
     below, seen = 1 << 62, 0
     step = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("b")
     for _, n, low in sorted(map(tuple, counts.groupBy(step).agg(F.count("*"), F.min("n")).collect()), reverse=True):
@@ -101,7 +108,40 @@ def frequent_columns(features: DataFrame) -> np.ndarray:
         if seen > FREQUENT:
             break
         below = low
-    return np.sort(counts.where(F.col("n") >= below).select("columns").toArrow().column(0).to_numpy().view(U))
+    grade = F.lit(1) + sum(F.when(F.col("n") * share >= g, 1).otherwise(0) for g in GRADES)
+    got = counts.where(F.col("n") >= below).select("mark", grade.cast("tinyint").alias("grade")).toArrow()
+    mark = got.column("mark").to_numpy().view(np.uint32)
+    order = np.argsort(mark)
+    return mark[order], got.column("grade").to_numpy()[order].astype(np.uint8)
+
+
+def _both(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists as one, with the higher grade of a mark in both."""
+    mark, place = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    grade = np.zeros(len(mark), np.uint8)
+    np.maximum.at(grade, place, np.concatenate([x[1], y[1]]))
+    return mark, grade
+
+
+def frequent_columns(texts: DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks and grades of frequent columns. ``texts``: th, text. A fixed share of the different texts shows the columns of
+    about SAMPLED * SEEN rows or more; among the first columns by that list those of COMMON rows are counted exactly."""
+    few = texts.where(F.pmod("th", F.lit(SAMPLED)) == 0).dropDuplicates(["th"]).select("text")
+    sampled = listed(few.mapInArrow(_counts(k), COUNTS), SEEN, SAMPLED)
+    held = texts.sparkSession.sparkContext.broadcast(sampled)
+    found = listed(texts.select("text").mapInArrow(_counts(k, percent, held), COUNTS), COMMON)
+    return _both(sampled, found)
+
+
+def _first(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first columns of a set in the order of all columns, with the grade above their 62 bits."""
+    mark, grade = frequent
+    if len(mark):
+        own = _marks(s)
+        at = np.minimum(np.searchsorted(mark, own), len(mark) - 1)
+        s = s | np.where(mark[at] == own, grade[at], 0).astype(U) << U(62)
+    m = prefix(len(s), percent)
+    return np.sort(np.partition(s, m - 1)[:m]) if m < len(s) else np.sort(s)
 
 
 def prefix(n: int, percent: int) -> int:
@@ -114,7 +154,6 @@ POSTINGS = "key bigint, n int, c bigint, last bigint"
 
 def _postings(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
         for batch in batches:
             done: set[int] = set()
             for _, _, texts in chunks(batch):
@@ -123,32 +162,30 @@ def _postings(k: int, percent: int, frequent):
                     if not len(s) or (c := _class(s)) in done:
                         continue
                     done.add(c)
-                    if len(late):
-                        at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                        s = np.where(late[at] == s, s | _LATE, s)
-                    m = prefix(len(s), percent)
-                    out.append((np.sort(np.partition(s, m - 1)[:m]) if m < len(s) else np.sort(s), len(s), c))
+                    out.append((_first(s, percent, frequent.value), len(s), c))
                 if out:
                     m = [len(x[0]) for x in out]
+                    last = np.array([x[0][-1] for x in out], U) ^ _TOP  # signed numbers in the order of columns
                     columns = [
                         pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat([x[1] for x in out], m).astype(np.int32)),
-                        pa.array(np.repeat(np.array([x[2] for x in out], np.int64), m)), pa.array(np.repeat(np.array([x[0][-1] for x in out], U), m).view(np.int64)),
+                        pa.array(np.repeat(np.array([x[2] for x in out], np.int64), m)), pa.array(np.repeat(last.view(np.int64), m)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "c", "last"])
 
     return tidy(run)
 
 
-PAIRS = "a bigint, b bigint, na int, nb int, la bigint, lb bigint, tie boolean"
+PAIRS = "u bigint, v bigint, need int"
 
 
 def _pairs(percent: int, most: int):
-    """Rows by (key, n, c): of each key the pairs of classes near in size, or for more than ``most`` rows ties of each
-    row to the first of those it may be near to. No more than ``most`` rows are held."""
+    """Rows by (key, n, c): of each key the pairs of classes near in size with the number of first columns they must
+    share, or for more than ``most`` rows ties (of 0) of each row to the first of those it may be near to. No more than
+    ``most`` rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PAIRS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.int32()]
         held: list[tuple] = []
         key = before = start = None
         over = False
@@ -159,7 +196,7 @@ def _pairs(percent: int, most: int):
             if before is None or 100 * before[0] < percent * row[0]:
                 start = row
             elif start[1] != row[1]:
-                out.append((start[1], row[1], start[0], row[0], start[2], row[2], True))
+                out.append((min(start[1], row[1]), max(start[1], row[1]), 0))
             before = row
 
         def pairs() -> None:
@@ -167,8 +204,9 @@ def _pairs(percent: int, most: int):
                 for y in held[i + 1 :]:
                     if 100 * x[0] < percent * y[0]:
                         break
-                    p, q = (x, y) if x[1] < y[1] else (y, x)
-                    out.append((p[1], q[1], p[0], q[0], p[2], q[2], False))
+                    size = x[0] if x[2] <= y[2] else y[0]  # of the one whose first columns end first
+                    need = -(-percent * (x[0] + y[0]) // (100 + percent)) - size + prefix(size, percent)
+                    out.append((min(x[1], y[1]), max(x[1], y[1]), max(1, need)))
 
         for batch in batches:
             keys = batch.column("key").to_numpy()
@@ -212,11 +250,7 @@ def _pairs(percent: int, most: int):
 def candidates(postings: DataFrame, percent: int, run_rows: int = RUN) -> DataFrame:
     """Pairs of classes (u, v) that may link by the overlap over their first columns, and ties."""
     rows = postings.repartition("key").sortWithinPartitions("key", "n", "c").mapInArrow(_pairs(percent, run_rows), PAIRS)
-    pairs = rows.groupBy("a", "b").agg(F.count_if(~F.col("tie")).alias("shared"), F.max("tie").alias("tie"), *[F.first(x).alias(x) for x in ("na", "nb", "la", "lb")])
-    size = F.when(F.col("la") <= F.col("lb"), F.col("na")).otherwise(F.col("nb"))
-    first = size - F.ceil(F.lit(percent) * size / 100) + 1
-    needed = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return pairs.where(F.col("tie") | (F.col("shared") + size - first >= needed)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return rows.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
 
 
 MEMBER = "f bigint, c bigint, copies bigint, b int, blocks int, entries binary"
@@ -329,11 +363,16 @@ def link_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     reachable by links, its own included; n_links is the number of linked other rows. Null or wordless text: no shingle,
     no link. Rows of equal doc_id are rows of their own; a null doc_id is never a component's id unless all are null.
     Equal rows get equal results. No rows: no rows."""
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _link_components(docs, k, percent, run_rows, block_rows)
+
+
+def _link_components(docs: DataFrame, k: int, percent: int, run_rows: int, block_rows: int) -> DataFrame:
     spark = docs.sparkSession
     x = _keyed(docs.select("doc_id", "text")).withColumn("th", F.xxhash64("text"))
     features = stage(x.select("k1", "k2", F.col("doc_id").cast("bigint").alias("doc_id"), "th", "text").mapInArrow(_features(k), FEATURES), "jaccard-features")
     classes = stage(features.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("th").alias("th")), "jaccard-classes")
-    late = spark.sparkContext.broadcast(frequent_columns(features))
+    late = spark.sparkContext.broadcast(frequent_columns(x.select("th", "text"), k, percent))
     postings = docs.select("text").mapInArrow(_postings(k, percent, late), POSTINGS)
     pairs = stage(candidates(postings, percent, run_rows), "jaccard-candidates")
     family = components(pairs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -57,6 +58,14 @@ def release(spark: SparkSession, held: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is staged by now: its cleaner deletes them, on all executors, when the
+    driver's collector finds that nothing refers to them, which by itself may take as long as all that follows. What still
+    reports the last job refers to them too, so that is waited for a moment."""
+    time.sleep(0.5)
+    spark._jvm.java.lang.System.gc()
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within, what runs exchanges at most so many rows at once with Python: texts are large, and both sides hold a batch."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import apart, batches_of, small, stage
+from siltstone.llm.common import apart, batches_of, small, stage, sweep
 from siltstone.llm.components import components
 from siltstone.llm.textkit import U, chunks, mix, powers, tidy, windows, words
 
@@ -373,8 +373,10 @@ def _link_components(docs: DataFrame, k: int, percent: int, run_rows: int, block
     features = stage(x.select("k1", "k2", F.col("doc_id").cast("bigint").alias("doc_id"), "th", "text").mapInArrow(_features(k), FEATURES), "jaccard-features")
     classes = stage(features.where("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("th").alias("th")), "jaccard-classes")
     late = spark.sparkContext.broadcast(frequent_columns(x.select("th", "text"), k, percent))
+    sweep(spark)
     postings = docs.select("text").mapInArrow(_postings(k, percent, late), POSTINGS)
     pairs = stage(candidates(postings, percent, run_rows), "jaccard-candidates")
+    sweep(spark)
     family = components(pairs)
     members = family.select(F.col("node").alias("c"), F.col("root").alias("f")).union(family.select(F.col("root").alias("c"), F.col("root").alias("f")).distinct())
     members = stage(members.join(classes, "c"), "jaccard-members")
@@ -387,6 +389,7 @@ def _link_components(docs: DataFrame, k: int, percent: int, run_rows: int, block
     full = full.select("f", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "c", "copies", "entries")
     found = full.repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "side", "c").mapInArrow(_decide(percent), LINKS)
     found = stage(found, "jaccard-links")
+    sweep(spark)
     root = components(found.select(F.col("c").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("c").agg(F.sum("links").alias("links")).join(root, F.col("c") == F.col("node"), "left").select("c", "links", F.coalesce("root", "c").alias("root"))
     linked = stage(counts.join(classes, "c"), "jaccard-linked")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import apart, crc_fold
+from siltstone.llm.common import apart, batches_of, crc_fold, small, stage
 from siltstone.llm.textkit import chunks, tidy
 
 #: Hashed n-grams of up to GRAMS characters; a space stands for any run of other characters.
@@ -26,6 +26,8 @@ SAMPLE = 400
 LANGUAGES = 500
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+#: Rows exchanged at once with Python.
+BATCH_ROWS = 2000
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 _letters: list[np.ndarray] = []
@@ -165,15 +167,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if len(count) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: their weights don't fit the driver, and none is left out")
     langs = sorted(r["lang"] for r in count)
-    df = rows.select("text").mapInArrow(_document_frequencies, "gram int, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        df = rows.select("text").mapInArrow(_document_frequencies, "gram int, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
     dense = np.zeros(DIMS + 1)
     dense[df.column("gram").to_numpy()] = df.column("df").to_numpy()
     model = Model(langs, np.log((1 + dense[DIMS]) / (1 + dense[:DIMS])) + 1)
     if not langs:
         return model
-    share = docs.sparkSession.createDataFrame([(c["lang"], min(1.0, sample / c["n"])) for c in count], "lang string, share double")
+    shares = {"lang": pa.array([c["lang"] for c in count], pa.string()), "share": pa.array([min(1.0, sample / c["n"]) for c in count], pa.float64())}
+    share = docs.sparkSession.createDataFrame(pa.table(shares))  # a list would be an RDD, for which executors keep further Python workers
     chosen = rows.withColumn("r", r).join(F.broadcast(share), "lang").where((F.shiftrightunsigned("r", 11) / F.lit(float(1 << 53))) < F.col("share")).dropDuplicates(["r"])
-    got = chosen.select("text", "lang", "r").mapInArrow(_features, "lang string, r bigint, grams array<int>, counts array<int>").toArrow().to_pylist()
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        got = chosen.select("text", "lang", "r").mapInArrow(_features, "lang string, r bigint, grams array<int>, counts array<int>").toArrow().to_pylist()
     got.sort(key=lambda x: x["r"])
     number = {x: i for i, x in enumerate(langs)}
     made = [(number[x["lang"]], np.array(x["grams"], np.int64), np.array(x["counts"], float)) for x in got if x["grams"]]
@@ -182,24 +187,26 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _predict(model):
+def _predict(model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch):
                 out = [model.value.predict(t) for t in texts]
                 new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), *new], names=[*keep, "lang_pred", "score"])
 
     return tidy(run)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score, from its text alone. Null text or text without a letter: ``und``, 0."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with lang_pred and score, from its text alone. Null text or text without a letter:
+    ``und``, 0."""
     if "lang_pred" in docs.columns or "score" in docs.columns:
         raise ValueError("lang_pred and score are made here")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "lang_pred string, score double"])
-    return docs.mapInArrow(_predict(shared), schema)
+    keep = docs.columns if keep is None else keep
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes), "lang_pred string, score double"])
+    return docs.mapInArrow(_predict(shared, keep), schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -215,8 +222,15 @@ def known_language(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) ->
     columns stay, also extra ones whose names clash with those here; repeated rows stay or go together; a null lang teaches
     nothing and is no reason to go; without any labelled row all go. No rows: no rows."""
     model = train(docs.where(crc_fold("doc_id", FOLDS) != HELD_OUT), sample)
+    if not model.langs:
+        return docs.where(F.lit(False))
     x, back = apart(docs, "text")
-    return back(predict(x, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
+    x = x.where(F.col("text").isNotNull()).withColumns({"h1": F.xxhash64("text"), "h2": F.crc32("text")})
+    with batches_of(docs.sparkSession, BATCH_ROWS):  # what goes is staged here, as no more than keys come back from Python
+        told = predict(x.select("h1", "h2", "text"), model, ["h1", "h2"])
+        gone = told.where(~((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
+        gone = stage(gone.select("h1", "h2").distinct(), "language-unknown")
+    return back(x.join(small(gone), ["h1", "h2"], "left_anti"))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

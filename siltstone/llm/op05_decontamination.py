@@ -46,7 +46,8 @@ def item_words(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def vocabulary(places: DataFrame) -> DataFrame:
     """Staged (term, t) of all words of ``places`` and of the end of a document, -1."""
     words = places.select("term").distinct().withColumn("t", F.monotonically_increasing_id())
-    return stage(words.union(words.sparkSession.createDataFrame([(_END, -1)], "term string, t bigint")), "bench-terms")
+    end = words.sparkSession.range(1).select(F.lit(_END).alias("term"), F.lit(-1).cast("bigint").alias("t"))
+    return stage(words.union(end), "bench-terms")
 
 
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ class Encoder:
     Pieces already known are found in one pass over Arrow arrays; what is new goes to the library. At most ``keep`` pieces
     and ``keep_bytes`` of them stay known from batch to batch; beyond that, those that the last batch used."""
 
-    def __init__(self, path: str, keep: int = 500_000, keep_bytes: int = 16 << 20):
+    def __init__(self, path: str, keep: int = 250_000, keep_bytes: int = 8 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

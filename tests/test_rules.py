@@ -86,6 +86,12 @@ def test_html():
     assert html.crawl_fields("<h1>a <b>b</b></h1><a href='/x'>l</a>", "http://e.com/p") == ("ab", ["http://e.com/x"])
 
 
+def test_names_of_characters():
+    got = html.parse('<title>a &quot</title><body><h1>b &quot</h1>&quot;c&quot; &amp d&lt; &copyright &am <a href="/x?a=1&copy=2">link</a></body>')
+    assert got["title"] == "a &quot" and got["headings"] == ["b &quot"] and got["body_text"] == '"c" & d< &copyright &am link'
+    assert html.crawl_fields('<a href="/x?a=1&copy=2&amp;b">l</a>', "http://e.com/p")[1] == ["http://e.com/x?a=1&copy=2&b"]
+
+
 def test_snippet():
     words = [f"w{i}" for i in range(100)]
     words[70] = "Party"

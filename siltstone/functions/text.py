@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from siltstone.functions import porter
 
@@ -82,6 +84,22 @@ def stem_column(rows: DataFrame, word: str, stemmer: str) -> DataFrame:
     return rows.join(vocabulary, word)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _porter_texts(words: pa.Array) -> pa.Array:
+    each = words.values.dictionary_encode()
+    stems = pa.array([porter.known_stem(w) for w in each.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(words.offsets, stems.take(each.indices))
+
+
+def stems(words: Column, stemmer: str) -> Column:
+    """The stems of an array of words, in its order."""
+    if stemmer == "suffix":
+        return F.transform(words, suffix_stem)
+    if stemmer != "porter":
+        raise ValueError(f"unknown stemmer {stemmer}")
+    return _porter_texts(F.coalesce(words, F.array().cast("array<string>")))
+
+
 def py_stem(word: str, stemmer: str = "suffix") -> str:
     if stemmer == "porter":
         return porter.stem(word)
@@ -110,6 +128,38 @@ def token_rows(docs: DataFrame, stemmer: str = "suffix", compose: bool = True) -
     return stem_column(x.where(F.col("word").isNotNull()), "word", stemmer).select("doc_id", "doc_len", "position", "term")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is found once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def grouped(terms: Column) -> Column:
+    """The terms of one text to an array of (term, positions ascending), by term: sorted, then cut where the term changes."""
+
+    def starts(s: Column) -> Column:
+        new = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i))
+        return F.filter(new, lambda i: i.isNotNull())
+
+    def cut(s: Column, at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(s))
+        return F.transform(at, lambda b, k: F.struct(F.get(s, b)["term"].alias("term"), F.slice(s, b + 1, end(k) - b)["position"].alias("positions")))
+
+    placed = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    return _once(placed, lambda s: _once(starts(s), lambda at: cut(s, at)))
+
+
+def term_arrays(docs: DataFrame, stemmer: str = "suffix", compose: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text) to doc_id, doc_len (all tokens) and terms, the kept tokens' stems in their order."""
+    text = nfc(F.col("text")) if compose else F.col("text")
+    x = docs.select("doc_id", raw_tokens(text).alias("raw"))
+    return x.select("doc_id", F.size("raw").alias("doc_len"), stems(kept_tokens(F.col("raw")), stemmer).alias("terms"))
+
+
+def repeated(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id; then what belongs to it isn't in one row."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def token_counts(docs: DataFrame, compose: bool = True) -> DataFrame:
     """doc_id, token_count (all tokens) and kept_count of every row of ``docs`` (doc_id, text)."""
     raw = F.coalesce(raw_tokens(nfc(F.col("text")) if compose else F.col("text")), F.array().cast("array<string>"))

@@ -34,6 +34,15 @@ def postings(tokens: DataFrame, shards: int = 4) -> DataFrame:
     return x.select(shard(F.col("term"), shards).alias("shard"), "term", "doc_id", "tf", "positions", "doc_len")
 
 
+def document_postings(docs: DataFrame, stemmer: str = "suffix", shards: int = 4, compose: bool = True, repeated: bool | None = None) -> DataFrame:
+    """The same postings from ``docs`` (doc_id, text): each text's within its row, without a shuffle. Only where rows share
+    a doc_id (``repeated``; None: it is looked up) all tokens are grouped."""
+    if tx.repeated(docs) if repeated is None else repeated:
+        return postings(tx.token_rows(docs, stemmer, compose), shards)
+    x = tx.term_arrays(docs, stemmer, compose).select("doc_id", "doc_len", F.explode_outer(tx.grouped(F.col("terms"))).alias("e")).where(F.col("e").isNotNull())
+    return x.select(shard(F.col("e.term"), shards).alias("shard"), "e.term", "doc_id", F.size("e.positions").alias("tf"), "e.positions", "doc_len")
+
+
 def postings_from_payload(docs: DataFrame, shards: int = 4) -> DataFrame:
     """Processed documents (doc_id, tokens array<struct<term,tf,positions>>, token_count) to postings. A term that comes
     twice in a payload counts with its last entry; missing tf is 1, missing positions none."""
@@ -80,9 +89,10 @@ class Index:
 
 def build(docs: DataFrame, settings: Settings = Settings(), compose: bool = True) -> Index:
     """An index in memory of nothing but plans over ``docs`` (doc_id, text)."""
-    stats = corpus_stats(tx.token_counts(docs, compose)).first()
-    post = postings(tx.token_rows(docs, settings.stemmer, compose), settings.num_shards)
-    return Index(post, term_stats(post), stats["total_docs"], stats["total_tokens"], stats["avg_doc_length"], settings.num_shards, settings.stemmer)
+    each = tx.token_counts(docs, compose).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+    total, tokens, most = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.max("n")).first()
+    post = document_postings(docs, settings.stemmer, settings.num_shards, compose, (most or 0) > 1)
+    return Index(post, term_stats(post), total, tokens, tokens / total if total else 0.0, settings.num_shards, settings.stemmer)
 
 
 def write(index: Index, root: str) -> int:

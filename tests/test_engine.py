@@ -288,6 +288,22 @@ def test_composed_terms(spark):
     assert found(index, "caf\u00e9") == {"d"} and tx.token_counts(docs).first()["token_count"] == len(tx.py_raw_tokens(text)) == 2
 
 
+def texts(spark, *more):
+    rows = [(1, "cats running cat nation the \u00e9tude"), (2, None), (3, ""), (4, "fox runs fox a-b fox running"), (None, "e\u0301t running the"), *more]
+    return spark.createDataFrame(rows, "doc_id int, text string")
+
+
+@pytest.mark.parametrize("stemmer", ["suffix", "porter"])
+def test_postings_without_shuffle(spark, stemmer):
+    for docs, shuffles in ((texts(spark), 0), (texts(spark, (4, "fox then cat")), 1)):
+        got = ix.document_postings(docs, stemmer)
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == shuffles
+        all_tokens = ix.postings(tx.token_rows(docs, stemmer))
+        assert sorted(map(str, got.collect())) == sorted(map(str, all_tokens.collect())) and got.dtypes == all_tokens.dtypes
+    index = ix.build(texts(spark, (4, "fox then cat")))
+    assert (index.total_docs, index.total_tokens) == (6, 18) and "Exchange" not in ix.build(texts(spark)).postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
